@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import ORACLE as LINE_DEDUP_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +25,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", out["_n_lines"].alias("n_lines"), out["_n_dropped"].alias("n_dropped"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -38,9 +47,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
 
 #: DuckDB SQL of those that SQL can express in reasonable time; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": LINE_DEDUP_SQL}
