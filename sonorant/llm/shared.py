@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one Arrow slice holds at most (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -66,7 +67,7 @@ def scan(df: DataFrame, text: str, schema: str, make: Callable[[], tuple[Callabl
     """mapInArrow over bounded slices. make() gives (each, last) per task: each(slice) and last() return lists of arrays."""
     ship(df.sparkSession)
     at = df.columns.index(text)
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, last = make()
