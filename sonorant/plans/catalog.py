@@ -1,3 +1,3 @@
 """Imports every query module, so that all queries are registered."""
 
-from . import aggregate_queries, filter_queries, join_queries, sequence_queries  # noqa: F401
+from . import aggregate_queries, filter_queries, join_queries, scalar_queries, sequence_queries  # noqa: F401

@@ -51,8 +51,8 @@ _SIM = "round((greatest(0, 1 - abs(q_f0 - f0) / 2000) + greatest(0, 1 - abs(q_du
 query("j06_match_library", P + f", q as (select s_suppkey as q_id, abs(s_acctbal) as q_f0, s_nationkey * 20e0 as q_duration from supplier), r as (select q_id, key, {_SIM} as sim, row_number() over (partition by q_id order by {_SIM} desc, key) as k from q, phrases) select q_id, case when sim >= 0.8 then key end as key, sim from r where k = 1")(
     lambda s, d: j.match_library(table(s, d, "supplier").select(F.col("s_suppkey").alias("q_id"), F.abs("s_acctbal").alias("q_f0"), (F.col("s_nationkey") * 20.0).alias("q_duration")), phrases(s, d).select("key", "f0", "duration_ms"))
 )
-query("j07_match_keys", "with a as (select 'F0_' || (p_partkey % 40) || '_DUR_' || p_size || '_R' as key from part where p_partkey % 2 = 0), t as (select distinct 'F0_' || (p_partkey % 50) || '_DUR_' || p_size || '_R' as key from part where p_partkey % 2 = 1) select t.key, min(a.key) as match from t join a on regexp_replace(t.key, '_DUR_[0-9]+', '') = regexp_replace(a.key, '_DUR_[0-9]+', '') group by t.key")(
-    lambda s, d: j.match_keys(table(s, d, "part").where("p_partkey % 2 = 1").selectExpr("concat('F0_', p_partkey % 50, '_DUR_', p_size, '_R') as key").distinct(), table(s, d, "part").where("p_partkey % 2 = 0").selectExpr("concat('F0_', p_partkey % 40, '_DUR_', p_size, '_R') as key"))
+query("j07_match_keys", "with a as (select 'F0_' || (p_partkey % 40 + 1) || '_DUR_' || p_size || '_R' as key from part where p_partkey % 2 = 0), t as (select distinct 'F0_' || (p_partkey % 50) || '_DUR_' || p_size || '_R' as key from part where p_partkey % 2 = 1) select t.key, min(a.key) as match from t join a on regexp_replace(t.key, '_DUR_[0-9]+', '') = regexp_replace(a.key, '_DUR_[0-9]+', '') group by t.key")(
+    lambda s, d: j.match_keys(table(s, d, "part").where("p_partkey % 2 = 1").selectExpr("concat('F0_', p_partkey % 50, '_DUR_', p_size, '_R') as key").distinct(), table(s, d, "part").where("p_partkey % 2 = 0").selectExpr("concat('F0_', p_partkey % 40 + 1, '_DUR_', p_size, '_R') as key"))
 )
 query("j08_as_of", f"with {_IV}, r as (select user_id, start as time, stop - start as v from iv where event_type = 'view'), l as (select id, user_id, start as time from iv where event_type = 'click') select l.id, l.user_id, l.time, case when l.time - r.time <= 50000 then round(r.v, 4) end as v from l asof left join r on l.user_id = r.user_id and l.time >= r.time")(
     lambda s, d: j.as_of(intervals(s, d).where("event_type = 'click'").selectExpr("id", "user_id", "start as time"), intervals(s, d).where("event_type = 'view'").selectExpr("user_id", "start as time", "stop - start as v"), "user_id", "time", "v", 50000).withColumn("v", F.round("v", 4))

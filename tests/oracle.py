@@ -44,6 +44,8 @@ def difference(spark, con, name, function, sql, sf_dir: str = DATA) -> str:
     mine = sorted((tuple(plain(r[c]) for c in order) for r in got.collect()), key=repr)
     at = [rel.columns.index(c) for c in order]
     theirs = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
+    if not mine:
+        return "no rows"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows against {len(theirs)}; first here {mine[:2]}, there {theirs[:2]}"
     for a, b in zip(mine, theirs, strict=True):
