@@ -10,9 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from .sequences import ORDER, r6
+from .sequences import in_order, r6
 
-ALL = W.partitionBy()
+
+def all_rows():
+    """The window of all rows; only of few, aggregated ones."""
+    return W.partitionBy()
 
 
 def library_statistics(phrases: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ def social_network(df: DataFrame, emitter: str, addressee: str, k: int = 20) ->
 
 def context_switches(t: DataFrame) -> DataFrame:
     """Per context its tokens and how often the token differs from the one before."""
-    m = t.withColumn("sw", (F.lag("token").over(ORDER) != F.col("token")).cast("double"))
+    m = t.withColumn("sw", (F.lag("token").over(in_order()) != F.col("token")).cast("double"))
     return m.groupBy("ctx").agg(F.count("*").alias("n"), r6(F.coalesce(F.avg("sw"), F.lit(0.0))).alias("switch_rate"))
 
 
@@ -91,7 +94,7 @@ def contingency(df: DataFrame, a: str, b: str, weight: str | None = None) -> Dat
     n = F.count("*") if weight is None else F.sum(weight)
     c = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(n.alias("n"))
     full = c.select("a").distinct().crossJoin(c.select("b").distinct()).join(c, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    full = full.withColumns({"row": F.sum("n").over(W.partitionBy("a")), "col": F.sum("n").over(W.partitionBy("b")), "total": F.sum("n").over(ALL)})
+    full = full.withColumns({"row": F.sum("n").over(W.partitionBy("a")), "col": F.sum("n").over(W.partitionBy("b")), "total": F.sum("n").over(all_rows())})
     return full.withColumn("expected", F.col("row") * F.col("col") / F.col("total"))
 
 
@@ -131,14 +134,14 @@ def fisher(c: DataFrame) -> DataFrame:
     """One-sided Fisher exact p of every observed cell against all else, Bonferroni over all cells."""
     f = stats.udf(lambda a, b, x, d: stats.fisher_greater(int(a), int(b), int(x), int(d)))
     rest = F.col("total") - F.col("row") - F.col("col") + F.col("n")
-    out = c.withColumn("cells", F.count("*").over(ALL)).where("n > 0").withColumn("p", f("n", F.col("row") - F.col("n"), F.col("col") - F.col("n"), rest))
+    out = c.withColumn("cells", F.count("*").over(all_rows())).where("n > 0").withColumn("p", f("n", F.col("row") - F.col("n"), F.col("col") - F.col("n"), rest))
     return out.select("a", "b", r6("p").alias("p"), r6(F.least(F.lit(1.0), F.col("p") * F.col("cells"))).alias("adjusted"))
 
 
 def uniformity(edges: DataFrame) -> DataFrame:
     """Chi-squared of the sources' totals in edges(src, n) against equal shares, p by Wilson and Hilferty's cube root."""
     s = edges.groupBy("src").agg(F.sum("n").alias("n"))
-    mean = F.avg("n").over(ALL)
+    mean = F.avg("n").over(all_rows())
     out = s.withColumn("part", (F.col("n") - mean) ** 2 / mean).agg(F.sum("part").alias("x"), (F.count("*") - 1).alias("dof"))
 
     def wh(x, d):
@@ -165,8 +168,8 @@ def class_report(df: DataFrame, pred: str, label: str) -> DataFrame:
     z = F.lit(0.0)
     per = per.withColumns({"precision": F.coalesce(F.try_divide("hit", "said"), z), "recall": F.coalesce(F.try_divide("hit", "support"), z)})
     per = per.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), z))
-    macro = F.avg(F.when(F.col("support") > 0, F.col("f1"))).over(ALL)
-    weighted = F.sum(F.col("f1") * F.col("support")).over(ALL) / F.sum("support").over(ALL)
+    macro = F.avg(F.when(F.col("support") > 0, F.col("f1"))).over(all_rows())
+    weighted = F.sum(F.col("f1") * F.col("support")).over(all_rows()) / F.sum("support").over(all_rows())
     return per.select("class", "support", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"), r6(macro).alias("macro_f1"), r6(weighted).alias("weighted_f1"))
 
 

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-ORDER = W.partitionBy("seq").orderBy("pos")
+
+def in_order():
+    """The window of a sequence in its order."""
+    return W.partitionBy("seq").orderBy("pos")
+
 
 
 def r6(c: Column) -> Column:
@@ -30,7 +34,7 @@ def tokens(df: DataFrame, seq: str, order: list[str], token: str, ctx: str | Non
 def ngrams(t: DataFrame, sizes: range | list[int]) -> DataFrame:
     """(seq, pos, n, ngram[, ctx]) of every window of the given sizes; a sequence shorter than n has none."""
     most = max(sizes)
-    ahead = [F.lead("token", k).over(ORDER).alias(f"t{k}") for k in range(1, most)]
+    ahead = [F.lead("token", k).over(in_order()).alias(f"t{k}") for k in range(1, most)]
     wide = t.select(*t.columns, *ahead)
     parts = [F.when(F.col(f"t{n - 1}" if n > 1 else "token").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", "token", *[f"t{k}" for k in range(1, n)]).alias("ngram"))) for n in sizes]
     return wide.select("seq", "pos", *(["ctx"] if "ctx" in t.columns else []), F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select("*", "x.n", "x.ngram").drop("x")
@@ -38,7 +42,7 @@ def ngrams(t: DataFrame, sizes: range | list[int]) -> DataFrame:
 
 def bigrams(t: DataFrame) -> DataFrame:
     """(seq, pos, src, dst[, ctx]) of neighbouring tokens; the last token of a sequence has no successor."""
-    return t.withColumn("dst", F.lead("token").over(ORDER)).where("dst is not null").withColumnRenamed("token", "src")
+    return t.withColumn("dst", F.lead("token").over(in_order())).where("dst is not null").withColumnRenamed("token", "src")
 
 
 def ngram_counts(t: DataFrame, sizes: range | list[int]) -> DataFrame:
@@ -147,7 +151,7 @@ def discover(t: DataFrame, n: int, least: int) -> DataFrame:
 def context_windows(t: DataFrame, pattern: str, reach: int = 2) -> DataFrame:
     """(seq, pos, window) around every match of a pattern, matches at a sequence's end included."""
     n = len(pattern.split(" "))
-    w = ORDER.rowsBetween(-reach, n - 1 + reach)
+    w = in_order().rowsBetween(-reach, n - 1 + reach)
     around = t.withColumn("window", F.concat_ws(" ", F.collect_list("token").over(w)))
     return ngrams(t, [n]).where(F.col("ngram") == pattern).select("seq", "pos").join(around.select("seq", "pos", "window"), ["seq", "pos"])
 
@@ -232,9 +236,9 @@ def shuffled(t: DataFrame) -> DataFrame:
 
 def turn_taking(t: DataFrame) -> DataFrame:
     """W28 (token: speaker): per sequence turns, switches, share of switches, ABA returns and longest run; order is pos (Q11)."""
-    before, two = F.lag("token").over(ORDER), F.lag("token", 2).over(ORDER)
+    before, two = F.lag("token").over(in_order()), F.lag("token", 2).over(in_order())
     marked = t.select("seq", "pos", "token", before.alias("b1"), two.alias("b2")).withColumn("switch", (F.col("b1") != F.col("token")).cast("int"))
-    runs = marked.withColumn("run", F.sum(F.coalesce("switch", F.lit(0))).over(ORDER))
+    runs = marked.withColumn("run", F.sum(F.coalesce("switch", F.lit(0))).over(in_order()))
     longest = runs.groupBy("seq", "run").agg(F.count("*").alias("k")).groupBy("seq").agg(F.max("k").alias("longest_run"))
     out = marked.groupBy("seq").agg(
         F.count("*").alias("turns"), F.coalesce(F.sum("switch"), F.lit(0)).alias("switches"), F.countDistinct("token").alias("speakers"),
@@ -269,10 +273,10 @@ def anchored_windows(df: DataFrame, key: str, time: str, width: float) -> DataFr
 
 def response_rate(t: DataFrame, system: str, animal: str, time: str | None = None, timeout: float | None = None) -> DataFrame:
     """Share of ``system`` rows whose next row is ``animal``'s, within the timeout if one is given (Q12)."""
-    nxt = F.lead("token").over(ORDER)
+    nxt = F.lead("token").over(in_order())
     ok = nxt == animal
     if timeout is not None:
-        ok = ok & (F.lead(time).over(ORDER) - F.col(time) <= timeout)
+        ok = ok & (F.lead(time).over(in_order()) - F.col(time) <= timeout)
     said = t.withColumn("ok", F.coalesce(ok, F.lit(False))).where(F.col("token") == system)
     return said.agg(F.count("*").alias("said"), F.count_if(F.col("ok")).alias("answered"), r6(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(0.0))).alias("ras"))
 
@@ -309,7 +313,7 @@ def sequence_log_prob(t: DataFrame, begin: str = "<s>") -> DataFrame:
     """Per sequence the sum of ln p of its steps (begin token first, no end) and exp(-mean)."""
     model = padded_bigrams(t, begin).where("dst <> '</s>'")
     model = model.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("src"))).select("src", "dst", "p")
-    steps = t.select("seq", F.coalesce(F.lag("token").over(ORDER), F.lit(begin)).alias("src"), F.col("token").alias("dst"))
+    steps = t.select("seq", F.coalesce(F.lag("token").over(in_order()), F.lit(begin)).alias("src"), F.col("token").alias("dst"))
     return steps.join(model, ["src", "dst"]).groupBy("seq").agg(r6(F.sum(F.log("p"))).alias("log_prob"), r6(F.exp(-F.avg(F.log("p")))).alias("perplexity"))
 
 
@@ -418,8 +422,8 @@ def quantized(vector: Column, bins: int, vocabulary: int = 1020) -> Column:
 
 def runs(t: DataFrame) -> DataFrame:
     """(seq, run, token, length) of maximal runs of one token."""
-    marked = t.withColumn("new", (F.coalesce(F.lag("token").over(ORDER) != F.col("token"), F.lit(True))).cast("int"))
-    marked = marked.withColumn("run", F.sum("new").over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+    marked = t.withColumn("new", (F.coalesce(F.lag("token").over(in_order()) != F.col("token"), F.lit(True))).cast("int"))
+    marked = marked.withColumn("run", F.sum("new").over(in_order().rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy("seq", "run").agg(F.first("token").alias("token"), F.count("*").alias("length"))
 
 

@@ -29,9 +29,8 @@ def _vec(name, sql, expr):
 _SS = f"sqrt(list_sum({_Z.format('(x[1] - x[2]) * (x[1] - x[2])')}))"
 _vec("s01_distances", f"round({_SS}, 6) as l2, round(list_sum({_Z.format('abs(x[1] - x[2])')}), 6) as l1, round(list_max({_Z.format('abs(x[1] - x[2])')}), 6) as linf, round(1 - list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6) as cosine", lambda a, b: [r6(v.euclidean(a, b)).alias("l2"), r6(v.manhattan(a, b)).alias("l1"), r6(v.chebyshev(a, b)).alias("linf"), r6(v.cosine_distance(a, b)).alias("cosine")])
 _vec("s02_similarity", f"round(exp(-{_SS}), 6) as similarity, round(1 - exp(-{_SS}), 6) as compat", lambda a, b: [r6(v.similarity(v.euclidean(a, b))).alias("similarity"), r6(v.similarity(v.euclidean(a, b), True)).alias("compat")])
-_W = F.array(*[F.lit(0.5)] * 64)
 for _n in ("s03_weighted_distance", "s06_weighted_distance_45"):
-    _vec(_n, f"round(sqrt(list_sum({_Z.format('0.5 * (x[1] - x[2]) * (x[1] - x[2])')})), 6) as distance", lambda a, b: [r6(v.euclidean(a, b, _W)).alias("distance")])
+    _vec(_n, f"round(sqrt(list_sum({_Z.format('0.5 * (x[1] - x[2]) * (x[1] - x[2])')})), 6) as distance", lambda a, b: [r6(v.euclidean(a, b, F.array(*[F.lit(0.5)] * 64))).alias("distance")])
 _vec("s04_interpolate", f"round(list_sum({_Z.format('x[1] * 0.75 + x[2] * 0.25')}), 6) as total", lambda a, b: [r6(v._sum(v.interpolate(a, b, 0.25))).alias("total")])
 _vec("s05_extrapolate", f"round(list_sum({_Z.format('x[1] + x[2] * 2')}), 6) as total", lambda a, b: [r6(v._sum(v.extrapolate(a, b, 2.0))).alias("total")])
 _vec("s07_clamp", f"round(least({_SS}, 1.5), 6) as moved", lambda a, b: [r6(v.euclidean(v.clamp(b, a, 1.5), a)).alias("moved")])

@@ -207,12 +207,12 @@ def export_parquet(points: DataFrame, path: str, codec: str = "zstd") -> int:
     return points.sparkSession.read.parquet(path).count()
 
 
-_TRACE = struct.Struct("<QIIdd22s")
+_TRACE = "<QIIdd22s"
 
 
 def pack_trace(session: int, kind: int, flags: int, time: float, value: float, note: bytes) -> bytes:
     """IO29: a 64-byte record: 54 packed bytes, their CRC32, 6 zero bytes."""
-    body = _TRACE.pack(session, kind, flags, time, value, note)
+    body = struct.pack(_TRACE, session, kind, flags, time, value, note)
     return body + struct.pack("<I", zlib.crc32(body)) + bytes(6)
 
 
@@ -227,7 +227,7 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{name}: {len(data)} bytes are no whole records")
                 for i in range(0, len(data), 64):
                     r = bytes(data[i : i + 64])
-                    s, k, f, t, v, note = _TRACE.unpack(r[:54])
+                    s, k, f, t, v, note = struct.unpack(_TRACE, r[:54])
                     out.append((Path(name).name, i // 64, s, k, f, t, v, note.rstrip(b"\0").decode("utf-8", "replace"), struct.unpack("<I", r[54:58])[0] == zlib.crc32(r[:54])))
             yield pd.DataFrame(out, columns=["file", "record", "session", "kind", "flags", "time", "value", "note", "ok"])
 
