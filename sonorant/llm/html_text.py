@@ -1,6 +1,6 @@
 r"""Main text of web pages by site template removal (operator 3).
 
-Each page is parsed once into elements and text blocks. Every block-level element's subtree is hashed (its tag and what it
+Each page is parsed into elements and text blocks. Every block-level element's subtree is hashed (its tag and what it
 holds), and Spark counts per host on how many pages a subtree stands. Subtrees that recur on many pages of their host are
 deleted: containers and marked elements from ``max(least, share * pages)`` pages on, plain paragraphs inside the article
 only if nearly the whole site repeats them (``plain_share``), as articles may quote a common passage. A subtree that holds
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -31,6 +32,8 @@ from .shared import materialize, scan
 
 #: Pages of a host, at least, and share of its pages on which a template's subtree stands; the share for plain blocks.
 LEAST, SHARE, PLAIN_LEAST, PLAIN_SHARE = 4, 0.01, 8, 0.6
+#: Templates (hashes of 8 bytes) that are broadcast at most.
+BROADCAST = 1_000_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -240,45 +243,71 @@ def _signed(hashes: list[int]) -> list[int]:
     return [h - (1 << 64) if h >> 63 else h for h in hashes]
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)", 1))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks, hashes) of every row."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)", 1)).alias("host"), "html")
+    """(page_id, url, host, blocks) of every row."""
+
+    def make():
+        def each(b: pa.RecordBatch):
+            got = [candidates(x)[0] if x else [] for x in b.column(3).to_pylist()]
+            blocks = [[{"text": t, "soft": _signed(s), "plain": _signed(p)} for t, s, p in x] for x in got]
+            return [b.column(0), b.column(1), b.column(2), pa.array(blocks, _BLOCKS)]
+
+        return each, None
+
+    schema = "page_id long, url string, host string, blocks array<struct<text:string,soft:array<long>,plain:array<long>>>"
+    return scan(_rows(pages), "html", schema, make)
+
+
+def subtree_counts(pages: DataFrame) -> DataFrame:
+    """(host, hash, n): pages of a host that hold a subtree; a null hash counts the host's pages. Summed per slice first."""
 
     def make():
         def each(b: pa.RecordBatch):
-            got = [candidates(x) if x else ([], []) for x in b.column(3).to_pylist()]
-            blocks = [[{"text": t, "soft": _signed(s), "plain": _signed(p)} for t, s, p in x] for x, _ in got]
-            return [b.column(0), b.column(1), b.column(2), pa.array(blocks, _BLOCKS), pa.array([_signed(h) for _, h in got], pa.list_(pa.int64()))]
+            counts: Counter = Counter()
+            for host, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if host:
+                    counts[host, None] += 1
+                    counts.update((host, h) for h in _signed(candidates(page)[1] if page else []))
+            hosts, hashes = [h for h, _ in counts], [x for _, x in counts]
+            return [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())]
 
         return each, None
 
-    schema = "page_id long, url string, host string, blocks array<struct<text:string,soft:array<long>,plain:array<long>>>, hashes array<long>"
-    return scan(rows, "html", schema, make)
+    return scan(_rows(pages), "html", "host string, hash long, n long", make).groupBy("host", "hash").agg(F.sum("n").alias("n"))
 
 
 def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE, plain_least: int = PLAIN_LEAST, plain_share: float = PLAIN_SHARE) -> DataFrame:
-    """(host, many, most): hashes of the subtrees that recur on many and on most pages of a host.
+    """(host, hash, most): subtrees that recur on many pages of a host; most: on most of them.
 
-    A host's lists are bounded: a subtree counts only from a share of the host's pages on.
+    A host has a bounded number of them, as each stands on a share of its pages.
     """
-    known = pages.where("host <> ''")
-    size = known.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = known.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    often = seen.join(size, "host").where(F.col("n") >= F.lit(share) * F.col("pages"))
-    most = (F.col("n") >= plain_least) & (F.col("n") >= F.lit(plain_share) * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("many"), F.collect_list(F.when(most, F.col("hash"))).alias("most"))
+    counts = materialize(subtree_counts(pages).where((F.col("n") >= least) | F.col("hash").isNull()), "subtrees")
+    size = counts.where("hash is null").select("host", F.col("n").alias("pages"))
+    often = counts.where("hash is not null").join(size, "host").where(F.col("n") >= F.lit(share) * F.col("pages"))
+    return often.select("host", "hash", ((F.col("n") >= plain_least) & (F.col("n") >= F.lit(plain_share) * F.col("pages"))).alias("most"))
 
 
 def main_text(pages: DataFrame, **thresholds) -> DataFrame:
-    """(page_id, url, text, n_chars, n_blocks, n_template_blocks) of every row."""
-    rows = materialize(parsed(pages), "pages")
-    of_host = templates(rows, **thresholds)
+    """(page_id, url, text, n_chars, n_blocks, n_template_blocks) of every row.
+
+    Pages are parsed once for the counts and once for the text, so no text is stored or shuffled: the templates come to
+    the pages in a broadcast while there are at most BROADCAST of them, else by a join on the host.
+    """
+    known = materialize(templates(pages, **thresholds), "templates")
+    of_host = known.groupBy("host").agg(F.collect_list("hash").alias("many"), F.collect_list(F.when(F.col("most"), F.col("hash"))).alias("most"))
+    if known.count() <= BROADCAST:
+        of_host = F.broadcast(of_host)
     none = F.array().cast("array<long>")
-    joined = rows.select("page_id", "url", "host", "blocks").join(of_host, "host", "left").withColumns({c: F.coalesce(c, none) for c in ("many", "most")})
+    joined = parsed(pages).join(of_host, "host", "left").withColumns({c: F.coalesce(c, none) for c in ("many", "most")})
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["soft"], F.col("many")) & ~F.arrays_overlap(b["plain"], F.col("most")))
     out = joined.select("page_id", "url", kept.alias("kept"), F.size("blocks").alias("all_blocks"))
     text = F.array_join(F.col("kept.text"), "\n\n")
     return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), (F.col("all_blocks") - F.size("kept")).alias("n_template_blocks"))
 
 
-__all__ = ["main_text", "parsed", "templates", "candidates", "parse"]
+__all__ = ["main_text", "parsed", "templates", "subtree_counts", "candidates", "parse"]
