@@ -46,3 +46,8 @@ for _name in ("f28_acoustic_group", "f29_taxon", "f30_taxonomic_group"):
 query("f31_rain", "select event_id, case when value <= 0 then 'none' when value < 2.5 then 'light' when value < 10 then 'moderate' when value < 50 then 'heavy' else 'storm' end as rain from events")(lambda s, d: table(s, d, "events").select("event_id", f.rain(F.col("value")).alias("rain")))
 query("f32_describe", P + "select key, 'pitch: ' || case when f0 < 1000 then 'low' else 'high' end || ', noise: ' || case when flatness < 0.3 then 'clear' when flatness < 0.6 then 'mixed' else 'noisy' end as said from phrases")(lambda s, d: phrases(s, d).select("key", f.describe({"pitch": f.banded(F.col("f0"), [(1000, "low")], "high"), "noise": f.banded(F.col("flatness"), [(0.3, "clear"), (0.6, "mixed")], "noisy")}).alias("said")))
 query("f33_nervousness", P + "select key, case when jitter < 0.02 and icv / 10 < 0.02 then 'calm' when jitter > 0.05 and icv / 10 > 0.05 then 'agitated' when jitter > 0.05 and icv / 10 < 0.02 then 'pitch-unstable' when jitter < 0.02 and icv / 10 > 0.05 then 'amplitude-unstable' else 'intermediate' end as mood from phrases")(lambda s, d: phrases(s, d).select("key", f.nervousness(F.col("jitter"), F.col("icv") / 10).alias("mood")))
+#: Species registry: vocabulary size and pitch range, as a caller would supply it.
+REGISTRY = [("Brand#1", 50, 900.0, 1000.0), ("Brand#2", 80, 950.0, 1100.0)]
+query("a43_species_registry", P + ", r(species, vocabulary, low, high) as (values ('Brand#1', 50, 900e0, 1000e0), ('Brand#2', 80, 950e0, 1100e0)) select r.species, vocabulary, count(key) as inside from r left join phrases p on p.species = r.species and f0 between low and high group by all")(
+    lambda s, d: (lambda r: r.join(phrases(s, d).withColumnRenamed("species", "sp"), (F.col("sp") == F.col("species")) & F.col("f0").between(F.col("low"), F.col("high")), "left").groupBy("species", "vocabulary").agg(F.count("key").alias("inside")))(f.constant(s, REGISTRY, "species string, vocabulary int, low double, high double"))
+)
