@@ -28,8 +28,10 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -323,36 +325,57 @@ def encoder(docs: DataFrame, pieces: Pieces, head: int = HEAD):
 
 
 #: Per worker process, what the last encoder it worked for needs; tasks of one job share it.
-_WORKER: dict[str, tuple] = {}
+_WORKER: dict[str, Encoder] = {}
+
+
+class Encoder(dict):
+    """Inside a task: word -> its ids as int32 bytes. A word that isn't known yet is encoded, checked and remembered.
+
+    Decoding joins what the pieces stand for, so a text decodes to itself if each of its words does; that is checked
+    once per word, when it comes in.
+    """
+
+    def __init__(self, pieces: Pieces, table: pa.Table):
+        super().__init__()
+        self.pieces, self.wrong = pieces, set()
+        names = {i: p.encode() for i, p in pieces.text.items()} | {i: bytes([b]) for b, i in pieces.bytes_.items()}
+        self.names = names
+        for word, ids in zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True):
+            self.learn(word, tuple(i for k in ids for i in ((k,) if k >= 0 else pieces.fallback(chr(-k - 1)))))
+        self.head = dict(self)
+
+    def learn(self, word: str, ids: tuple[int, ...]) -> bytes:
+        if b"".join([self.names.get(i, b"") for i in ids]) != word.encode():
+            self.wrong.add(word)
+        out = np.array(ids, dtype="<i4").tobytes()
+        if len(word) <= 64:
+            self[word] = out
+        return out
 
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= len(self.head) + REMEMBERED:
+            self.clear()
+            self.update(self.head)
+        return self.learn(word, self.pieces.encode_word(word))
 
-def task_encoder(token: str, shared):
-    """Inside a task: (pieces, function from a text to its list of ids)."""
-    if token in _WORKER:
-        return _WORKER[token]
-    _WORKER.clear()
-    pieces, table = shared.value
-    known: dict[str, tuple[int, ...]] = {}
-    for word, ids in zip(table["word"].to_pylist(), table["ids"].to_pylist(), strict=True):
-        known[word] = tuple(i for k in ids for i in ((k,) if k >= 0 else pieces.fallback(chr(-k - 1))))
-    more: dict[str, tuple[int, ...]] = {}
+    def texts(self, texts: list[str | None]) -> tuple[pa.Array, list[bool]]:
+        """(ids of each text, whether they decode to it again); null texts have null ids and count as exact."""
+        parts, exact = [], []
+        for t in texts:
+            words = self.pieces.words(t) if t else []
+            parts.append(b"".join(map(self.__getitem__, words)))
+            exact.append(not t or (SPACE not in t and (not self.wrong or self.wrong.isdisjoint(words))))
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int64) // 4
+        values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=pa.array([t is None for t in texts])), exact
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        add = out.extend
-        for word in pieces.words(text):
-            ids = known.get(word) or more.get(word)
-            if ids is None:
-                if len(more) >= REMEMBERED:
-                    more.clear()
-                ids = pieces.encode_word(word)
-                if len(word) <= 64:
-                    more[word] = ids
-            add(ids)
-        return out
 
-    _WORKER[token] = pieces, encode
-    return pieces, encode
+def task_encoder(token: str, shared) -> Encoder:
+    """The worker's encoder."""
+    if token not in _WORKER:
+        _WORKER.clear()
+        _WORKER[token] = Encoder(*shared.value)
+    return _WORKER[token]
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, head: int = HEAD) -> DataFrame:
@@ -366,10 +389,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, head: int = HEAD
     def run(batches):
         from .shared import slices
 
-        _, encode = task_encoder(token, shared)
+        encode = task_encoder(token, shared)
         for batch in batches:
             for b in slices(batch, at):
-                ids = pa.array([None if t is None else encode(t) for t in b.column(at).to_pylist()], pa.list_(pa.int32()))
+                ids, _ = encode.texts(b.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
 
     return docs.mapInArrow(run, schema)
@@ -397,20 +420,11 @@ def round_trip(docs: DataFrame, model: str | None = None, head: int = HEAD) -> D
     token, shared = encoder(rows, pieces, head)
 
     def make():
-        pieces, encode = task_encoder(token, shared)
-        names = [b""] * (max((r[0] for r in pieces.rows), default=0) + 1)
-        for i, p in pieces.text.items():
-            names[i] = p.encode()
-        for byte, i in pieces.bytes_.items():
-            names[i] = bytes([byte])
-        first = 1 if pieces.dummy_prefix else 0
+        encode = task_encoder(token, shared)
 
         def each(b: pa.RecordBatch):
-            texts = b.column(1).to_pylist()
-            ids = [None if t is None else encode(t) for t in texts]
-            space = SPACE.encode()
-            exact = [t is None or not t or b"".join([names[i] for i in x]).replace(space, b" ")[first:] == t.encode() for t, x in zip(texts, ids, strict=True)]
-            return [b.column(0), pa.array([0 if x is None else len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)]
+            ids, exact = encode.texts(b.column(1).to_pylist())
+            return [b.column(0), pa.compute.fill_null(pa.compute.list_value_length(ids), 0).cast(pa.int64()), ids, pa.array(exact)]
 
         return each, None
 
