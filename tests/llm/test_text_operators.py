@@ -403,3 +403,14 @@ def test_templates_are_learnt(spark):
     assert got[3].text == "Page 3\n\nOwn words of page 3 that are long enough to lead.\n\nquoted line" and got[3].n_template_blocks == 1
     assert got[51].text == "body of it\n\nJoin our club today" and got[50].text == "a" and got[52].text == "" and got[None].text == "x"
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_labelled_sample_is_that_of_least_hash(spark):
+    from sonorant.llm.shared import label_of, labelled_ids
+
+    df = spark.createDataFrame([(i, i % 2, 0) for i in range(500)] + [(3, 0, 0), (None, 1, 1), (9000, 7, 0)], "doc_id long, quality int, toxic int")
+    ids, y = labelled_ids(df, "quality", 40)
+    want = df.where("quality in (0, 1) and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(40).collect()
+    assert ids.tolist() == sorted(r.doc_id for r in want) and (y == ids % 2).all()
+    assert label_of(pa.array([int(ids[0]), None, -5]), ids, y).tolist() == [y[0], -1, -1]
+    assert label_of(pa.array([1, 2]), ids[:0], y[:0]).tolist() == [-1, -1]
