@@ -13,7 +13,8 @@ only a spanning forest leaves the task.
 
 Edge cases: null and empty texts have fingerprint zero and link to each other; a null doc_id can't name a component:
 such rows keep their fingerprint and take part, but are named last (a component of null ids alone is null);
-repeated rows each get a row; an empty table gives no rows. Only doc_id and text are read.
+repeated rows each get a row; an empty table gives no rows. Only doc_id and text are read. ``keep_one`` keeps one row of a
+component of null ids, and knows rows by id and text, as an id may stand on several texts.
 """
 
 from __future__ import annotations
@@ -54,18 +55,20 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * set_in > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long. hashed adds tkey, the text's hash."""
+    extra = [F.xxhash64("text").alias("tkey")] if hashed else []
 
     def make():
         def each(b: pa.RecordBatch):
             raw, at = utf8(b.column(1))
             data = raw.tobytes()
-            return [b.column(0), np.array([fingerprint(data[s:e], width) for s, e in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64).view(np.int64)]
+            return [b.column(0), np.array([fingerprint(data[s:e], width) for s, e in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64).view(np.int64), *b.columns[2:]]
 
         return each, None
 
-    return scan(columns_apart(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, fp long", make)
+    rows = columns_apart(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), "text", *extra)
+    return scan(rows, "text", "doc_id long, fp long" + ", tkey long" * hashed, make)
 
 
 def segments(n: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
@@ -204,17 +207,28 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the row of the component's least doc_id (of repeated rows, one), with all columns.
+def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, unique_ids: bool = True) -> DataFrame:
+    """One document of each component, with all columns: of least (doc_id with nulls last, fingerprint, hash of the text).
 
-    Rows whose doc_id is null are kept only if their component holds no other id; one of them stands for it.
+    A row is known by doc_id and text, so a doc_id on texts of several components stays or goes with each of them; of
+    rows equal in both, one stays. If one doc_id would stay with several texts, unique_ids keeps the first of them only.
     """
-    marked = simhash_components(docs, width, radius)
-    first = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
-    once = docs.join(first.where("doc_id is not null and n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    many = docs.join(first.where("doc_id is not null and n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    none = docs.where("doc_id is null").dropDuplicates(["text"])
-    return once.unionByName(many).unionByName(none)
+    marked = materialize(fingerprints(docs, width, True), "fingerprints")
+    rows = marked.groupBy("fp", "doc_id", "tkey").agg(F.count("*").alias("n"))
+    folded = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tkey", "n")).alias("least"))
+    folded = materialize(folded, "folded")
+    linked = link_components(folded.select("fp"), radius)
+    kept = folded.join(linked, "fp", "left").groupBy(F.coalesce("rep", "fp")).agg(F.min("least").alias("least")).select("least.*")
+    if unique_ids:  # null is no id: rows without one stay apart
+        named = kept.where("not none").groupBy("doc_id").agg(F.min(F.struct("none", "doc_id", "fp", "tkey", "n")).alias("least"))
+        kept = named.select("least.*").unionByName(kept.where("none"))
+    kept = materialize(kept.select("doc_id", "tkey", "n"), "survivors")
+
+    def of(some: DataFrame) -> DataFrame:
+        key = docs["doc_id"].cast("long").eqNullSafe(some["doc_id"]) & (F.xxhash64(docs["text"]) == some["tkey"])
+        return docs.join(some, key, "left_semi")
+
+    return of(kept.where("n = 1")).unionByName(of(kept.where("n > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 __all__ = ["fingerprint", "fingerprints", "link_components", "simhash_components", "keep_one", "segments", "ball"]

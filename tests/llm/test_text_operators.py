@@ -147,6 +147,33 @@ def test_simhash(docs, empty):
     assert len(ids) == len(set(ids)) and set(ids) == {min(v) for v in least.values() if v}
 
 
+def test_keep_one_of_null_and_reused_ids(spark):
+    rng = np.random.default_rng(11)
+
+    def long(n=400):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+    a, b, c, d, e = (long() for _ in range(5))
+    rows = [
+        (1, a), (None, a + " end"), (None, b), (None, b + " end"), (None, b), (7, b + " stop"), (None, c), (None, c + " end"), (None, c), (None, long()),
+        (20, d), (20, e), (3, e + " end"), (30, d + " end"), (40, long()), (40, long()), (40, "twice over here now"), (40, "twice over here now"),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("tkey", F.lit(0))
+    fp = [naive_fp(t) for _, t in rows]
+    comp = naive_components(len(rows), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 4])
+    groups = [[r for r, k in zip(rows, comp, strict=True) if k == g] for g in sorted(set(comp))]
+    assert sorted(len(g) for g in groups) == [1, 1, 1, 2, 2, 2, 2, 3, 4]
+    want = {g: min((i is None, i or 0) for i, _ in rs) for g, rs in enumerate(groups)}
+    out = simhash.keep_one(df, unique_ids=False)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns and len(got) == len(groups)
+    for g, rs in enumerate(groups):
+        stays = [x for x in got if x in rs]
+        assert len(stays) == 1 and (stays[0][0] is None, stays[0][0] or 0) == want[g]
+    one = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    assert len(one) == len(groups) - 2 and set(one) < set(got) and sum(i == 40 for i, _ in one) == 1
+
+
 def test_near_fingerprints_are_all_found(spark):
     base = int(RNG.integers(0, 1 << 62))
     fps = [base]
