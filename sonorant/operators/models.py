@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, vectors
 from ..plans.lineage import cut
+from .filters import purity
 from .sequences import r6
 
 
@@ -31,7 +32,7 @@ def _in_group(rows: DataFrame, group: str, label, most: int) -> DataFrame:
 
 
 def dbscan(rows: DataFrame, group: str, eps: float, min_samples: int, most: int = 20_000) -> DataFrame:
-    """DBSCAN within each group; the key of a cluster is (group, cluster), so labels don't meet across groups (Q23)."""
+    """M1: DBSCAN within each group; the key of a cluster is (group, cluster), so labels don't meet across groups (Q23)."""
     return _in_group(rows, group, lambda x: kernels.dbscan(x, eps, min_samples), most)
 
 
@@ -89,20 +90,93 @@ def gmm(rows: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, float, floa
     return model.transform(data).select("id", F.col("prediction").cast("long").alias("cluster")), like, free * float(np.log(n)) - 2 * like
 
 
+def _scaled(rows: DataFrame) -> DataFrame:
+    """rows with features: v in units of standard deviations from the mean; a constant place is 0."""
+    from pyspark.ml.feature import StandardScaler
+
+    data = _assembled(rows).withColumnRenamed("features", "raw")
+    return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(data).transform(data).drop("raw")
+
+
+def _silhouette(done: DataFrame) -> float:
+    """Of features by prediction; under two clusters 0."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    return float(ClusteringEvaluator().evaluate(done)) if done.select("prediction").distinct().count() > 1 else 0.0
+
+
 def silhouettes(rows: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
-    """Silhouette of standardised k-means for each k; under two clusters 0."""
+    """Silhouette of standardised k-means for each k; 0 for k under 2, k not under the rows, or one cluster."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
 
-    data = _assembled(rows).cache()
-    out = []
+    n, out = rows.count(), []
+    data = _scaled(rows).cache() if n else None
     for k in ks:
-        done = KMeans(k=k, seed=seed).fit(data).transform(data) if k > 1 else None
-        many = done is not None and done.select("prediction").distinct().count() > 1
-        out.append((k, float(ClusteringEvaluator().evaluate(done)) if many else 0.0))
+        out.append((k, _silhouette(KMeans(k=k, seed=seed).fit(data).transform(data)) if 1 < k < n else 0.0))
     return rows.sparkSession.createDataFrame(out, "k int, silhouette double")
 
 
+def cluster_suite(rows: DataFrame, group: str, k: int, min_size: int, dims: int = 8, least: float = 0.01, seed: int = 42) -> DataFrame:
+    """(method, clusters, assigned, silhouette) of k-means, HDBSCAN within each group and a mixture, over the same scaled features.
+
+    The mixture is fitted on ``dims`` principal components; rows of components under a weight of ``least``, and
+    HDBSCAN's noise, are not assigned.
+    """
+    from pyspark.ml.clustering import GaussianMixture, KMeans
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    data = _scaled(rows).cache()
+    scaled = data.select("id", group, vector_to_array("features").alias("v"))
+    found = hdbscan(scaled, group, min_size, 20_000).where("cluster >= 0")
+    named = cut(found.select(group, "cluster").distinct().withColumn("prediction", F.monotonically_increasing_id()))
+    low = PCA(k=dims, inputCol="features", outputCol="low").fit(data).transform(data).select("id", F.col("low").alias("features"))
+    model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(low)
+    kept = [i for i, w in enumerate(model.weights) if w >= least]
+    done = {
+        "kmeans": KMeans(k=k, seed=seed).fit(data).transform(data),
+        "hdbscan": data.join(found.join(named, [group, "cluster"]).select("id", "prediction"), "id"),
+        "mixture": data.join(model.transform(low).where(F.col("prediction").isin(kept)).select("id", "prediction"), "id"),
+    }
+    out = []
+    for method, x in done.items():
+        x = cut(x.select("id", "features", F.col("prediction").cast("double").alias("prediction")))
+        out.append((method, x.select("prediction").distinct().count(), x.count(), _silhouette(x)))
+    return rows.sparkSession.createDataFrame(out, "method string, clusters long, assigned long, silhouette double")
+
+
+def build_vocabulary(rows: DataFrame, group: str, eps: float, min_samples: int, most: int = 20_000) -> DataFrame:
+    """(group, id, cluster) of DBSCAN on rows scaled within their group, without noise."""
+
+    def label(x: np.ndarray) -> np.ndarray:
+        std = x.std(axis=0)
+        return kernels.dbscan((x - x.mean(axis=0)) / np.where(std > 0, std, 1.0), eps, min_samples)
+
+    return _in_group(rows, group, label, most).where("cluster >= 0")
+
+
+def discover(rows: DataFrame, group: str, min_size: int, min_duration: float = 40.0, min_hnr: float = 3.0, max_flatness: float = 0.6) -> DataFrame:
+    """M34 over rows(id, group, v, duration_ms, hnr, flatness): purity gate, HDBSCAN within each group, and per cluster its
+    centroid, size and distances to the centroid, next to zipf_r2, perplexity and duration_cv of the whole vocabulary.
+    """
+    checks = [("duration", F.col("duration_ms") < min_duration), ("hnr", F.col("hnr") < min_hnr), ("flatness", F.col("flatness") > max_flatness)]
+    pure = rows.where(purity(checks) == "ok")
+    found = cut(hdbscan(pure, group, min_size).where("cluster >= 0").withColumn("c_id", F.struct(group, "cluster")))
+    members = pure.join(found.select("id", "c_id"), "id")
+    centroids = cut(vectors.means(members, "c_id", "v").select("c_id", F.col("mean").alias("centroid")))
+    far = members.join(centroids, "c_id").select("c_id", vectors.euclidean(F.col("v"), F.col("centroid")).alias("distance"))
+    stats = cut(cluster_stats(far).join(centroids, "c_id"))
+    # Clusters of one size have one place in the ranking after another: sums per size need no order of all clusters.
+    sizes = stats.groupBy("size").agg(F.count("*").alias("n")).withColumn("above", F.sum("n").over(W.orderBy(F.desc("size"))) - F.col("n"))
+    ranked = sizes.select("size", F.explode(F.sequence(F.col("above") + 1, F.col("above") + F.col("n"))).alias("rank"))
+    share = F.col("size") / F.sum("size").over(W.partitionBy())
+    ranked = ranked.withColumn("h", -share * F.log2(share))
+    r2 = F.when((F.count("*") < 3) | (F.min("size") == F.max("size")), 0.0).otherwise(F.regr_r2(F.ln("size"), F.ln("rank")))
+    whole = ranked.agg(r6(r2).alias("zipf_r2"), r6(F.pow(F.lit(2.0), F.sum("h"))).alias("perplexity"))
+    spread = members.agg(r6(F.stddev_pop("duration_ms") / F.avg("duration_ms")).alias("duration_cv"))
+    return stats.select(f"c_id.{group}", "c_id.cluster", "size", "mean", "std", "centroid").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(spread))
+
+
 def vocabulary_fit(rows: DataFrame, dims: int, k: int, least: float = 0.01, seed: int = 42) -> DataFrame:
     """PCA, mixture, components above a least weight: (component, weight, mean in PCA space)."""
     from pyspark.ml.clustering import GaussianMixture

@@ -89,7 +89,7 @@ query("m23_exemplars", f"with {_VEC}, {_CEN}, {NEAR} select c_id, id, distance f
 query("m24_medoids", f"with {_VEC}, {_CEN}, {NEAR}, r as (select *, (id % 13)::double as snr, row_number() over (partition by c_id order by distance, id) as k, count(*) over (partition by c_id) as n from nc), q as (select *, row_number() over (partition by c_id order by (k = 1 and snr >= 6) desc, snr desc, k) as o from r where k = 1 or k <= ceil(n * 0.25)) select c_id, id, snr from q where o = 1")(lambda s, d: m.medoids(assigned(s, d), vectors(s, d).selectExpr("id", "double(id % 13) as snr"), 6.0))
 query("m25_vocabulary_fit")(lambda s, d: m.vocabulary_fit(vectors(s, d), 4, 5).select("component", "weight"))
 query("m26_cluster_stats", f"with {_VEC}, {_CEN}, {NEAR} select c_id, count(*) as size, round(avg(distance), 6) as mean, round(stddev_pop(distance), 6) as std from nc group by c_id")(lambda s, d: m.cluster_stats(assigned(s, d)))
-query("m27_cluster_suite")(lambda s, d: m.silhouettes(vectors(s, d), [2, 4]).withColumn("method", F.lit("kmeans")))
+query("m27_cluster_suite")(lambda s, d: m.cluster_suite(vectors(s, d), "label", 4, 4))
 _COS = "round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6)"
 
 
@@ -113,8 +113,9 @@ def net(s, d):
 
 query("m32_network_metrics", f"with {_NET}, n as (select count(*) as nodes, round(avg(l), 6) as clustering from lo), k as (select count(*) as edges from e) select *, round(2 * edges / (nodes * (nodes - 1)), 6) as density from n, k")(lambda s, d: m.network_metrics(net(s, d)))
 query("m32_path_lengths", f"with recursive {_NET}, w as (select 1::bigint as node, 0 as depth union select bo.b, w.depth + 1 from w join bo on bo.a = w.node where w.depth < 12) select node, min(depth) as depth from w group by node")(lambda s, d: m.path_lengths(net(s, d), 1))
-query("m33_vocabulary")(lambda s, d: m.dbscan(_short(s, d, 4), "label", 1.2, 3).where("cluster >= 0"))
-query("m34_discover")(lambda s, d: m.cluster_stats(m.hdbscan(vectors(s, d).where("label < 5"), "label", 4).where("cluster >= 0").select((F.col("label") * 1000 + F.col("cluster")).alias("c_id"), F.lit(0.0).alias("distance"))))
+query("m33_vocabulary")(lambda s, d: m.build_vocabulary(vectors(s, d), "label", 1.2, 3))
+# Duration, hnr and flatness of a vector by its id, as in library.py.
+query("m34_discover")(lambda s, d: m.discover(vectors(s, d).withColumns({"duration_ms": (F.col("id") % 50 + 1) * 10.0, "hnr": F.col("id") % 31 * 1.0, "flatness": F.col("id") % 101 / 100.0}), "label", 4))
 query("m35_optimization_report", f"with {T23}, {B23}, k as (select unnest([2, 4, 8]) as k), h as (select k, a, b, count(distinct seq) as s from (select seq, k, src::bigint % k as a, dst::bigint % k as b from b, k) group by k, a, b) select k, count(*) filter (s >= 30) as score from h group by k")(lambda s, d: seq.shared_bigrams(numbers(s, d), [2, 4, 8], 30))
 query("m37_has_cycle")(lambda s, d: s.createDataFrame([("chain", m.has_cycle(table(s, d, "events").where("event_id > 0").selectExpr("event_id as src", "event_id div 2 as dst"))), ("ring", m.has_cycle(table(s, d, "events").where("event_id < 10").selectExpr("event_id as src", "(event_id + 1) % 10 as dst")))], "name string, cyclic boolean"))
 query("a30_mahalanobis")(lambda s, d: m.mahalanobis_models(_short(s, d, 4), "label").select("label", F.get("mean", F.lit(0)).alias("m0")))

@@ -159,3 +159,50 @@ def test_plans_push_filters(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
     plan = filters.in_range(df.select("p_partkey", F.col("p_retailprice").alias("f0")), "f0", 900, 950)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(p_retailprice" in plan and "ReadSchema: struct<p_partkey:bigint,p_retailprice:double>" in plan
+
+
+def _blobs(spark):
+    """Two clusters apart in the first place (unit scale), drowned by a second place of wide noise until it is scaled."""
+    rng = np.random.default_rng(3)
+    return [(i, 0, [float(10 * (i % 2) + 0.1 * rng.normal()), float(1e4 * rng.normal()), 5.0]) for i in range(60)]
+
+
+def test_silhouettes_are_of_scaled_rows(spark):
+    rows = _blobs(spark)
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    wide = spark.createDataFrame([(i, k, [x * 1e3, y / 1e5, z]) for i, k, (x, y, z) in rows], "id long, label int, v array<double>")
+    a, b = ({r.k: r.silhouette for r in models.silhouettes(x, [1, 2, 60, 99]).collect()} for x in (df, wide))
+    assert a[2] == pytest.approx(b[2], abs=1e-6) and a[1] == a[60] == a[99] == 0.0
+
+
+def test_cluster_suite_runs_each_method(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 2, (20.0 * (i % 3) + rng.normal(size=4)).tolist()) for i in range(90)]
+    got = {r.method: r for r in models.cluster_suite(spark.createDataFrame(rows, "id long, label int, v array<double>"), "label", 3, 5, 2).collect()}
+    assert set(got) == {"kmeans", "hdbscan", "mixture"} and got["kmeans"].clusters == 3
+    assert all(r.silhouette > 0 and r.clusters >= 2 and 0 < r.assigned <= 90 for r in got.values())
+
+
+def test_vocabulary_is_scaled_within_its_modality(spark):
+    rng = np.random.default_rng(6)
+    base = [[float(x) for x in rng.normal(size=6)] for _ in range(2)]
+    rows = [(10 * g + i, g, [y * (1e3 if g else 1.0) for y in (base[i % 2][:5] + [base[i % 2][5] + 0.001 * i])]) for g in (0, 1) for i in range(8)]
+    got = models.build_vocabulary(spark.createDataFrame(rows, "id long, label int, v array<double>"), "label", 0.5, 3).collect()
+    assert {(r.label, r.id % 2, r.cluster) for r in got} == {(g, p, c) for g in (0, 1) for p, c in ((0, 0), (1, 1))} and len(got) == 16
+
+
+def test_discover_gates_and_measures(spark):
+    rng = np.random.default_rng(7)
+    sizes = (12, 8, 5)
+    rows = [(100 * c + i, 0, (50.0 * c + 0.1 * rng.normal(size=3)).tolist(), 100.0 + c, 10.0, 0.1) for c, n in enumerate(sizes) for i in range(n)]
+    bad = [(900 + i, 0, [1e3, 1e3, 1e3 + i / 100], *q) for i, q in enumerate([(10.0, 10.0, 0.1)] * 6 + [(100.0, 1.0, 0.1)] * 6 + [(100.0, 10.0, 0.9)] * 6)]
+    df = spark.createDataFrame(rows + bad, "id long, label int, v array<double>, duration_ms double, hnr double, flatness double")
+    got = sorted(models.discover(df, "label", 4).collect(), key=lambda r: r.centroid[0])
+    assert [r["size"] for r in got] == list(sizes)
+    for c, r in enumerate(got):
+        x = np.array([v for i, _, v, *_ in rows if i // 100 == c])
+        d = np.linalg.norm(x - x.mean(0), axis=1)
+        assert r.centroid == pytest.approx(x.mean(0).tolist(), abs=1e-5) and (r.mean, r.std) == pytest.approx((d.mean(), d.std()), abs=1e-5)
+    p, length = np.array(sizes) / 25, np.repeat([100.0, 101.0, 102.0], sizes)
+    assert got[0].perplexity == pytest.approx(2 ** -(p * np.log2(p)).sum(), abs=1e-5) and got[0].duration_cv == pytest.approx(length.std() / length.mean(), abs=1e-5)
+    assert got[0].zipf_r2 == pytest.approx(np.corrcoef(np.log([1, 2, 3]), np.log(sizes))[0, 1] ** 2, abs=1e-5)
