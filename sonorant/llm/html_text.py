@@ -1,42 +1,55 @@
 r"""Main text of web pages by site template removal (operator 3).
 
-Each page is parsed into elements and text blocks. Every block-level element's subtree is hashed (its tag and what it
-holds), and Spark counts per host on how many pages a subtree stands. Subtrees that recur on many pages of their host are
-deleted: containers and marked elements from ``max(least, share * pages)`` pages on, plain paragraphs inside the article
-only if nearly the whole site repeats them (``plain_share``), as articles may quote a common passage. A subtree that holds
-most of a page's text is the article itself, not a template, even where pages are copies. What a site's pages can't show
-(few pages, templates that vary) falls to the markup: navigation, header, footer, aside, form, script and style elements,
-and elements whose class, id or role names one of these, a notice, an advert or reader comments. If the page marks its
-article or main part, only that is text.
+Each page is parsed into elements and text blocks. Every block-level element's subtree has two hashes: its *slot* (the
+tags, classes and ids from the body down to it, numbers of three digits or more apart) and its *content* (what it holds, digits apart, bottom up).
+Spark counts both per host, by pages; pages whose longest blocks agree in a
+MinHash of their words are copies and count once. Deleted are
+
+* contents that recur: on ``max(least, share * pages)`` pages of their host, or on ``main_share`` of them where the slot
+  holds much of the host's text (``mass``), as articles may quote a common passage;
+* slots that recur on half of the host's pages or more, hold little of its text, and whose contents are drawn from a
+  pool: ``pool`` of them or more stand on other pages of the host too (menus, footers and adverts that rotate).
+
+Headings recur with near copies of an article, so they count as slots that hold much text.
+
+What a site's pages can't show (too few of them, subtrees that don't recur) falls to the markup afterwards: navigation,
+header, footer, aside, form, script and style elements, and elements whose class, id or role names one of these, a
+notice, an advert or reader comments; last, if the page marks its article or main part, only that is text. The columns
+n_template_blocks, n_markup_blocks and n_outside_blocks tell how many blocks each of the three took away.
 
 Text rules: character references are decoded, white space inside a block becomes one blank, blocks are trimmed, empty
 ones go, and the rest is joined in page order by two line feeds.
 
 Edge cases: null or empty html gives an empty text; a null url has no host, so only the markup rules apply; unclosed and
-misnested tags are closed as browsers do; repeated rows each get a row; an empty table gives no rows. Only page_id, url
-and html are read.
+misnested tags are closed as browsers do; parsing takes time linear in a page's length, nesting included; repeated rows
+each get a row (and count once); an empty table gives no rows. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, scan
+from .wordvec import mix64
 
-#: Pages of a host, at least, and share of its pages on which a template's subtree stands; the share for plain blocks.
-LEAST, SHARE, PLAIN_LEAST, PLAIN_SHARE = 4, 0.01, 8, 0.6
+#: Pages of a host, at least, and share of its pages on which a recurring content stands; the share where much text is.
+LEAST, SHARE, MAIN_SHARE = 8, 0.1, 0.6
+#: Share of a host's text that a slot holds at most to be a template's; share of its contents that other pages hold too.
+MASS, POOL = 0.3, 0.1
 #: Templates (hashes of 8 bytes) that are broadcast at most.
 BROADCAST = 1_000_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_DIGITS = re.compile(r"\d+")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +63,6 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 _SCOPE = frozenset("html body article main section div nav header footer aside form table td th ul ol dl blockquote figure details".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROP = frozenset("head nav footer aside form button select menu dialog noscript object audio video canvas search".split())
-_PLAIN = frozenset("p li blockquote pre dd dt td th h1 h2 h3 h4 h5 h6 figcaption caption".split())
 _NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar aside widget widgets related recommended recommendations teaser share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer comment comments commentlist disqus reply replies respond login search toolbar skip copyright byline tags hidden".split()
 )
@@ -74,19 +86,21 @@ def _marks(attributes: str) -> tuple[frozenset[str], bool, bool]:
 
 
 class _Element:
-    __slots__ = ("tag", "up", "drop", "head", "marked", "parts", "size", "hash", "main")
+    __slots__ = ("tag", "up", "drop", "head", "parts", "size", "hash", "slot", "article", "main", "gone")
 
     def __init__(self, tag: str, up: _Element | None):
         self.tag, self.up = tag, up
         self.drop = up.drop if up else False
         self.head = up.head if up else False  # inside a header of the article: only headings stay
-        self.marked = self.main = False
+        self.article = tag == "article" or bool(up and up.article)
+        self.main = bool(up and up.main)
+        self.gone = False
         self.parts: list[str] = []
-        self.size, self.hash = 0, 0
+        self.size = self.hash = self.slot = 0
 
 
 def parse(page: str) -> tuple[list[tuple[str, _Element, bool]], list[_Element]]:
-    """(blocks as (text, element, mostly links), block-level elements with their hashes) of a page, in page order."""
+    """(blocks as (text, element, mostly links), block-level elements, outer ones first) of a page, in page order."""
     root = _Element("", None)
     stack: list[tuple[str, _Element | None]] = [("", root)]  # inline elements have no element of their own
     at = root
@@ -101,7 +115,7 @@ def parse(page: str) -> tuple[list[tuple[str, _Element, bool]], list[_Element]]:
             said = " ".join(htmllib.unescape("".join(text)).split())
             if said:
                 blocks.append((said, at, 2 * linked > len(said)))
-                at.parts.append(said)
+                at.parts.append(_DIGITS.sub("0", said))
                 at.size += len(said)
             text.clear()
         linked = 0
@@ -114,7 +128,7 @@ def parse(page: str) -> tuple[list[tuple[str, _Element, bool]], list[_Element]]:
             return
         flush()
         element.hash = xxhash.xxh64_intdigest("\x01".join([element.tag, *element.parts]), 7)
-        elements.append(element)
+        element.parts.clear()
         at = element.up
         at.parts.append(f"{element.hash:x}")
         at.size += element.size
@@ -182,18 +196,18 @@ def parse(page: str) -> tuple[list[tuple[str, _Element, bool]], list[_Element]]:
         flush()
         at = _Element(name, at)
         words, hidden, main = _marks(attributes) if attributes else (frozenset(), False, False)
-        at.marked = bool(attributes.strip("/ "))
-        at.main = name in ("article", "main") or main
+        elements.append(at)
+        at.main |= name == "main" or main
+        if name not in ("html", "body"):
+            slot = xxhash.xxh64_intdigest(f"{at.up.slot:x}/{name}.{' '.join(sorted(w for w in words if len(w) < 3 or not w.isdigit()))}", 11)
+            at.slot = slot & ~1 | (name in _HEADING)
         if name not in ("html", "body", "article", "main"):
             at.drop |= name in _DROP or hidden or bool(words & _NAMED)
             if name == "header" or "header" in words:
-                inside = at.up
-                while inside is not None and inside.tag not in ("article", "main"):
-                    inside = inside.up
-                if inside is None:
-                    at.drop = True
-                else:
+                if at.up.article or at.up.main:
                     at.head = True
+                else:
+                    at.drop = True
         elif name == "article" and words & {"comment", "comments", "reply", "ad", "advert", "teaser", "related"}:
             at.drop = True
         stack.append((name, at))
@@ -203,111 +217,158 @@ def parse(page: str) -> tuple[list[tuple[str, _Element, bool]], list[_Element]]:
     return blocks, elements
 
 
-def _chain(element: _Element) -> list[_Element]:
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.up
-    return out
+def remaining(blocks: list[tuple[str, _Element, bool]], elements: list[_Element], template: np.ndarray) -> tuple[list[str], int, int, int]:
+    """(kept texts, blocks deleted by templates, by markup, by standing outside the marked article).
 
-
-def candidates(page: str) -> tuple[list[tuple[str, list[int], list[int]]], list[int]]:
-    """(blocks that the markup rules keep, as (text, hashes of deletable subtrees, hashes of plain ones), all hashes)."""
+    template: per element whether its slot or content recurs on its host.
+    """
+    for e, t in zip(elements, template.tolist(), strict=True):
+        e.gone = t or (e.up is not None and e.up.gone)
+    own = [x for x in blocks if not x[1].gone]
+    kept = [(t, e, k) for t, e, k in own if not e.drop and (not e.head or e.tag in _HEADING)]
+    n_markup = len(own) - len(kept)
+    inside = [x for x in kept if x[1].article] or [x for x in kept if x[1].main]
+    if not inside:
+        inside = [(t, e, k) for t, e, k in kept if not (k and e.tag not in _HEADING)]
+    return [t for t, _, _ in inside], len(blocks) - len(own), n_markup, len(kept) - len(inside)
+
+
+def candidates(page: str) -> list[str]:
+    """The texts of a page's blocks that the markup rules alone keep."""
     blocks, elements = parse(page)
-    hashes = list(dict.fromkeys(e.hash for e in elements if e.size))
-    kept = [(text, e, linked) for text, e, linked in blocks if not e.drop and (not e.head or e.tag in _HEADING)]
-    chains = {id(e): _chain(e) for _, e, _ in kept}
-    for wanted in (("article",), ("main",), None):
-        inside = [(t, e, k) for t, e, k in kept if any(x.tag in wanted if wanted else x.main for x in chains[id(e)])]
-        if inside:
-            kept = inside
-            break
-    else:
-        kept = [(t, e, k) for t, e, k in kept if not (k and e.tag not in _HEADING)]
-    total = sum(len(t) for t, _, _ in kept)
-    out = []
-    for text, e, _ in kept:
-        soft, plain = [], []
-        for x in chains[id(e)]:
-            if not x.tag or x.tag in ("html", "body", "article", "main") or 2 * x.size > total:
-                continue
-            (plain if x.tag in _PLAIN and not x.marked else soft).append(x.hash)
-        out.append((text, soft, plain))
-    return out, hashes
+    return remaining(blocks, elements, np.zeros(len(elements), dtype=bool))[0]
 
 
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("soft", pa.list_(pa.int64())), ("plain", pa.list_(pa.int64()))]))
+def _keys(host: np.ndarray, slot: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """One 64-bit name of (host, slot, content); content 0 names the slot itself, slot 0 the host."""
+    with np.errstate(over="ignore"):
+        return mix64(host * np.uint64(0x9E3779B97F4A7C15) + mix64(slot * np.uint64(0xC2B2AE3D27D4EB4F) + content))
 
 
-def _signed(hashes: list[int]) -> list[int]:
-    return [h - (1 << 64) if h >> 63 else h for h in hashes]
+def sketch(text: str, width: int = 3) -> int:
+    """Least hash of the text's shingles of ``width`` words: equal for copies, mostly equal for near copies."""
+    words = text.split()
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + width]), 5) for i in range(max(1, len(words) - width + 1)))
 
 
 def _rows(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]+)", 1))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.when(host != "", host).alias("host"), "html")
+
+
+def _host_hash(host: str) -> int:
+    return xxhash.xxh64_intdigest(host, 3)
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, blocks) of every row."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(key, host, slot, content, main, size, many) of every page with a host: itself, its slots, its slots' contents.
+
+    main tells copies of a page apart from other pages; size: text of a page or slot; many: contents of a slot.
+    """
 
     def make():
         def each(b: pa.RecordBatch):
-            got = [candidates(x)[0] if x else [] for x in b.column(3).to_pylist()]
-            blocks = [[{"text": t, "soft": _signed(s), "plain": _signed(p)} for t, s, p in x] for x in got]
-            return [b.column(0), b.column(1), b.column(2), pa.array(blocks, _BLOCKS)]
+            out: list[tuple[int, int, int, int, int, int]] = []
+            for host, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if not host or not page:
+                    continue
+                blocks, elements = parse(page)
+                if not blocks:
+                    continue
+                h, main = _host_hash(host), sketch(max((t for t, _, _ in blocks), key=len))
+                out.append((h, 0, 0, main, sum(len(t) for t, _, _ in blocks), 0))
+                slots: dict[int, list] = {}
+                for e in elements:
+                    if e.size and e.slot:
+                        at = slots.setdefault(e.slot, [0, set()])
+                        at[0] += e.size
+                        at[1].add(e.hash | 1)
+                for slot, (size, contents) in slots.items():
+                    out.append((h, slot, 0, main, size, len(contents)))
+                    out.extend((h, slot, c, main, 0, 0) for c in contents)
+            if not out:
+                return None
+            host, slot, content, main, size, many = (np.array(x, dtype=np.uint64) for x in zip(*out, strict=True))
+            return [x.view(np.int64) for x in (_keys(host, slot, content), host, slot, content, main, size, many)]
 
         return each, None
 
-    schema = "page_id long, url string, host string, blocks array<struct<text:string,soft:array<long>,plain:array<long>>>"
-    return scan(_rows(pages), "html", schema, make)
+    return scan(_rows(pages), "html", "key long, host long, slot long, content long, main long, size long, many long", make)
 
 
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """(host, hash, n): pages of a host that hold a subtree; a null hash counts the host's pages. Summed per slice first."""
+    """(key, host, slot, content, n, size, many) over the pages that aren't copies, without contents that stand once."""
+    once = subtrees(pages).groupBy("key", "host", "slot", "content", "main").agg(F.max("size").alias("size"), F.max("many").alias("many"))
+    counts = once.groupBy("key", "host", "slot", "content").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("many").alias("many"))
+    return counts.where("n > 1 or content = 0")
+
+
+def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE, main_share: float = MAIN_SHARE, mass: float = MASS, pool: float = POOL) -> DataFrame:
+    """(host, key): recurring contents and slots of hosts. A host has a bounded number, as each stands on a share of its pages."""
+    counts = materialize(subtree_counts(pages), "subtrees")
+    hosts = counts.where("slot = 0").select("host", F.col("n").alias("pages"), F.col("size").alias("total"))
+    again = counts.where("content <> 0").groupBy("host", "slot").agg(F.sum("n").alias("again"))
+    slots = counts.where("slot <> 0 and content = 0").join(hosts.where(F.col("pages") >= least), "host").withColumn("small", (F.col("size") <= F.lit(mass) * F.col("total")) & (F.col("slot") % 2 == 0))
+    rotating = slots.where(F.col("small") & (2 * F.col("n") >= F.col("pages"))).join(again, ["host", "slot"]).where((F.col("again") >= 3) & (F.col("again") >= F.lit(pool) * F.col("many")))
+    contents = counts.where((F.col("content") != 0) & (F.col("n") >= least)).select("key", "host", "slot", "n").join(slots.select("host", "slot", "pages", "small"), ["host", "slot"])
+    contents = contents.where(F.col("n") >= F.when(F.col("small"), F.lit(share)).otherwise(F.lit(main_share)) * F.col("pages"))
+    return rotating.select("host", "key").unionByName(contents.select("host", "key"))
+
+
+SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_template_blocks int, n_markup_blocks int, n_outside_blocks int"
+
+
+def main_text(pages: DataFrame, broadcast: int = BROADCAST, **thresholds) -> DataFrame:
+    """Columns of SCHEMA for every row.
+
+    Pages are parsed once for the counts and once for the text, so no text is stored or shuffled: the templates come to
+    the pages in a broadcast while there are at most ``broadcast`` of them, else by a join on the host.
+    """
+    spark = pages.sparkSession
+    known = materialize(templates(pages, **thresholds), "templates")
+    rows = _rows(pages)
+    if known.count() <= broadcast:
+        everywhere = spark.sparkContext.broadcast(np.sort(known.select("key").toArrow()["key"].to_numpy()))
+    else:
+        everywhere = None
+        named = rows.select("host").distinct().where("host is not null").select("host", _hash_hosts("host").alias("of"))
+        of_host = named.join(known.groupBy(F.col("host").alias("of")).agg(F.sort_array(F.collect_list("key")).alias("keys")), "of").select("host", "keys")
+        rows = rows.join(of_host, "host", "left").select("page_id", "url", "host", "html", "keys")
 
     def make():
         def each(b: pa.RecordBatch):
-            counts: Counter = Counter()
-            for host, page in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if host:
-                    counts[host, None] += 1
-                    counts.update((host, h) for h in _signed(candidates(page)[1] if page else []))
-            hosts, hashes = [h for h, _ in counts], [x for _, x in counts]
-            return [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(list(counts.values()), pa.int64())]
+            none = np.zeros(0, dtype=np.int64)
+            shared = everywhere.value if everywhere is not None else None
+            lists = b.column(4).to_pylist() if shared is None else None
+            out = []
+            for i, (host, page) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                blocks, elements = parse(page) if page else ([], [])
+                template = np.zeros(len(elements), dtype=bool)
+                keys = none if not host else shared if shared is not None else np.array(lists[i] or [], dtype=np.int64)
+                at = np.flatnonzero([e.size > 0 and e.slot != 0 for e in elements]) if len(keys) else none
+                if len(at):
+                    slot, content = (np.array(x, dtype=np.uint64) for x in zip(*((elements[j].slot, elements[j].hash | 1) for j in at), strict=True))
+                    h = np.full(len(at), _host_hash(host), dtype=np.uint64)
+                    for asked in (_keys(h, slot, np.zeros_like(slot)), _keys(h, slot, content)):
+                        asked = asked.view(np.int64)
+                        template[at] |= keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked
+                kept, *gone = remaining(blocks, elements, template)
+                text = "\n\n".join(kept)
+                out.append((text, len(text), len(kept), *gone))
+            columns = list(zip(*out, strict=True))
+            return [b.column(0), b.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])]
 
         return each, None
 
-    return scan(_rows(pages), "html", "host string, hash long, n long", make).groupBy("host", "hash").agg(F.sum("n").alias("n"))
-
+    return scan(rows, "html", SCHEMA, make)
 
-def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE, plain_least: int = PLAIN_LEAST, plain_share: float = PLAIN_SHARE) -> DataFrame:
-    """(host, hash, most): subtrees that recur on many pages of a host; most: on most of them.
 
-    A host has a bounded number of them, as each stands on a share of its pages.
-    """
-    counts = materialize(subtree_counts(pages).where((F.col("n") >= least) | F.col("hash").isNull()), "subtrees")
-    size = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where("hash is not null").join(size, "host").where(F.col("n") >= F.lit(share) * F.col("pages"))
-    return often.select("host", "hash", ((F.col("n") >= plain_least) & (F.col("n") >= F.lit(plain_share) * F.col("pages"))).alias("most"))
+def _hash_hosts(host: str):
+    @F.pandas_udf("long")
+    def hashed(names: pd.Series) -> pd.Series:
+        return pd.Series(np.array([_host_hash(x) for x in names], dtype=np.uint64).view(np.int64))
 
+    return hashed(host)
 
-def main_text(pages: DataFrame, **thresholds) -> DataFrame:
-    """(page_id, url, text, n_chars, n_blocks, n_template_blocks) of every row.
 
-    Pages are parsed once for the counts and once for the text, so no text is stored or shuffled: the templates come to
-    the pages in a broadcast while there are at most BROADCAST of them, else by a join on the host.
-    """
-    known = materialize(templates(pages, **thresholds), "templates")
-    of_host = known.groupBy("host").agg(F.collect_list("hash").alias("many"), F.collect_list(F.when(F.col("most"), F.col("hash"))).alias("most"))
-    if known.count() <= BROADCAST:
-        of_host = F.broadcast(of_host)
-    none = F.array().cast("array<long>")
-    joined = parsed(pages).join(of_host, "host", "left").withColumns({c: F.coalesce(c, none) for c in ("many", "most")})
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["soft"], F.col("many")) & ~F.arrays_overlap(b["plain"], F.col("most")))
-    out = joined.select("page_id", "url", kept.alias("kept"), F.size("blocks").alias("all_blocks"))
-    text = F.array_join(F.col("kept.text"), "\n\n")
-    return out.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), (F.col("all_blocks") - F.size("kept")).alias("n_template_blocks"))
-
-
-__all__ = ["main_text", "parsed", "templates", "subtree_counts", "candidates", "parse"]
+__all__ = ["main_text", "templates", "subtree_counts", "subtrees", "candidates", "parse", "remaining"]

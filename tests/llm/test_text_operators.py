@@ -420,16 +420,89 @@ def page(body):
     ("<p>one<p>two</div></p><p title='a>b'>three", ["one", "two", "three"]),
 ])
 def test_blocks(html, want):
-    assert [t for t, _, _ in (html_text.candidates(html)[0] if html else [])] == want
-
-
-def test_templates_are_learnt(spark):
-    rows = [(i, f"http://h.example/{i}", page(f"<div><h2>Page {i}</h2><p>Own words of page {i} that are long enough to lead.</p><div class='x1'>Join our club today</div><p>quoted line</p></div>")) for i in range(12)]
-    rows += [(50, None, page("<article><p>a</p></article>")), (51, "http://one.example/", page("<div><p>body of it</p><div class='x1'>Join our club today</div></div>")), (52, "http://h.example/z", None), (None, "http://h.example/0", page("<p>x</p>"))]
-    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("q")), plain_share=0.95).collect()}
-    assert got[3].text == "Page 3\n\nOwn words of page 3 that are long enough to lead.\n\nquoted line" and got[3].n_template_blocks == 1
-    assert got[51].text == "body of it\n\nJoin our club today" and got[50].text == "a" and got[52].text == "" and got[None].text == "x"
-    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert (html_text.candidates(html) if html else []) == want
+
+
+def site(n, seed, menus=4):
+    """Pages without article, main or telling class names: a rotating menu, a box that recurs, own text, a rotating footer."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{chr(97 + x // 26)}{chr(97 + x % 26)}" for x in range(400)]
+
+    def said(k):
+        return " ".join(rng.choice(words, k))
+
+    pool = [said(3) for _ in range(menus)]
+    out = []
+    for i in range(n):
+        title, own = said(5), [said(30), said(20)]
+        menu = "".join(f"<li>{x}</li>" for x in rng.choice(pool, 2))
+        out.append((f"<body><div class='q1'><ul>{menu}</ul></div><div class='q2'><h2>{title}</h2><p>{own[0]}</p><p>{own[1]}</p></div><div class='q3'>Join club {i} today</div><div class='q4'>{rng.choice(pool)}</div></body>", "\n\n".join([title, *own])))
+    return out
+
+
+def test_templates_alone_take_the_boilerplate(spark):
+    """On pages whose markup says nothing, what stays is each page's own text, and recurring text of others stays."""
+    pages = site(30, 3)
+    rows = [(i, f"http://h.example/{i}", h) for i, (h, _) in enumerate(pages)]
+    rows += [(0, "http://h.example/0", pages[0][0]), (60, "http://h.example/z", None), (61, "http://h.example/y", ""), (62, None, pages[1][0]), (63, "http://one.example/", pages[2][0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("q")).withColumn("host", F.lit("q"))
+    for broadcast in (html_text.BROADCAST, 0):
+        got = sorted(html_text.main_text(df, broadcast=broadcast).collect(), key=lambda r: r.page_id)
+        assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+        by = {r.page_id: r for r in got}
+        assert all(by[i].text == want and by[i].n_template_blocks == 4 and by[i].n_markup_blocks == 0 for i, (_, want) in enumerate(pages))
+        assert by[60].text == by[61].text == "" and all(by[i].n_template_blocks == 0 and "Join club" in by[i].text for i in (62, 63))
+    assert html_text.main_text(df.where("false")).count() == 0
+
+
+def test_subtree_counts_and_templates_are_those_of_brute_force(spark):
+    pages = [h for h, _ in site(24, 4, menus=12)]
+    pages += [pages[0], pages[1].replace("club 1", "club 77"), pages[2]]  # copies count once
+    df = spark.createDataFrame([(i, "http://h.example/x", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    seen, text, held = defaultdict(set), defaultdict(dict), defaultdict(dict)
+    for h in pages:
+        blocks, elements = html_text.parse(h)
+        main = html_text.sketch(max((t for t, _, _ in blocks), key=len))
+        seen[0, 0].add(main)
+        text[0][main] = sum(len(t) for t, _, _ in blocks)
+        sizes, inside = Counter(), defaultdict(set)
+        for e in elements:
+            if e.size and e.slot:
+                sizes[e.slot] += e.size
+                inside[e.slot].add(e.hash | 1)
+        for slot, hashes in inside.items():
+            seen[slot, 0].add(main)
+            text[slot][main], held[slot][main] = sizes[slot], len(hashes)
+            for x in hashes:
+                seen[slot, x].add(main)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = {(signed(s), signed(c)): len(m) for (s, c), m in seen.items() if len(m) > 1 or c == 0}
+    counts = html_text.subtree_counts(df).collect()
+    assert {(r.slot, r.content): r.n for r in counts} == want and len(seen[0, 0]) == 24
+    of = {r.key: (r.slot, r.content) for r in counts}
+    chosen = set()
+    for (s, c), m in seen.items():
+        small = s % 2 == 0 and sum(text[s].values()) <= 0.3 * sum(text[0].values())
+        if s and not c:
+            again = sum(len(x) for (t, d), x in seen.items() if t == s and d and len(x) > 1)
+            if small and len(m) >= 12 and again >= 3 and again >= 0.1 * sum(held[s].values()):
+                chosen.add((signed(s), 0))
+        elif c and len(m) >= 8 and len(m) >= (0.1 if small else 0.6) * 24:
+            chosen.add((signed(s), signed(c)))
+    assert {of[r.key] for r in html_text.templates(df).collect()} == chosen and len(chosen) >= 4
+
+
+def test_parsing_is_linear_in_nesting():
+    import time
+
+    def seconds(n):
+        html = "<div>word " * n
+        start = time.perf_counter()
+        assert len(html_text.candidates(html)) == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 12 * max(seconds(10_000), 0.05)
 
 
 def test_labelled_sample_is_that_of_least_hash(spark):
