@@ -2,21 +2,23 @@
 
 Learning: over labelled training documents, each word (A-Z in lower case, punctuation at its ends cut off) and each of
 its short prefixes is counted by the number of toxic and of other documents that hold it. Its log-odds under a Dirichlet
-prior drawn from all training documents has a standard error; those that exceed ``z`` of these, and explain toxic texts
-that stronger ones don't, are toxic evidence with the log-odds as their weight. Every other word has a small negative
-drift, so that a chance segment's expected score is negative.
+prior drawn from all training documents has a standard error; its score is the log-odds moved towards zero by ``z`` of
+these, so a word of which little is known scores zero and every other word of a text, toxic or not, carries its log-odds.
+A token's score is the best of its word's and prefixes' scores plus a drift, chosen so that a token of clean text scores
+-``margin`` on average. Documents are counted, not times, so a word's k-th time in a text carries 1 / k^2 of its score.
 
 Scoring: a linear-time scan finds every maximal-scoring segment of a text (Ruzzo and Tompa). The best segments of
-non-toxic training texts follow an extreme-value law; its parameters K and lambda (Karlin and Altschul) are fitted, and
-a segment's significance is exp(-K n exp(-lambda S)) for n words. A text's score joins the evidence of its segments with
-the prior odds of the label, by a logistic curve fitted on the training texts' best calibrated segment score.
+non-toxic training texts follow an extreme-value law, P(S < x) = exp(-K n exp(-lambda x)) for n words (Karlin and
+Altschul); K and lambda are fitted by maximum likelihood, and a segment's significance follows. A text joins its segments
+by their sum statistic: the least p-value of its best r segments over r. Its score is a logistic curve of that evidence.
 
-The labelled sample is bounded by ``max_labelled`` rows (of least id hash); everything else covers all rows. Labels,
-lang, source and doc_id are no inputs of a score.
+Of near copies one trains. Both fits use scores out of the other half of the training documents (two folds by a hash of the id), as a text's own
+words would flatter it; the final word scores use all of them. The labelled sample is bounded by ``max_labelled`` rows
+(of least id hash); everything else covers all rows. Labels, lang, source and doc_id are no inputs of a score.
 
 Edge cases: null and empty texts have no segment and get the lowest score; null ids aren't labelled; ids labelled both
-ways count as toxic; repeated rows each get a row; without labels of both kinds every score is 0; an empty table gives
-no rows. Only doc_id and text are read.
+ways count as toxic; a labelled id on several rows trains once, with its least text; repeated rows each get a row;
+without labels of both kinds every score is 0; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -25,28 +27,30 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_apart, crc_mod, label_of, labelled_ids, scan
+from .shared import columns_apart, crc_mod, label_of, labelled_ids, materialize, scan
 from .wordvec import Words, mix64, utf8
 
 MAX_LABELLED = 400_000
-#: Standard errors that a word's log-odds must exceed, toxic documents that must hold it, weight of the prior in documents.
-Z, LEAST, PRIOR = 2.5, 3, 50.0
-#: Weight of every word that isn't evidence.
-DRIFT = -0.02
+#: Standard errors that a word's log-odds moves towards zero, documents that must hold it, weight of the prior in documents.
+Z, LEAST, PRIOR = 3.0, 3, 50.0
+#: Mean score of a token of clean text, negated.
+MARGIN = 0.5
+#: Segments of a text that the sum statistic joins at most.
+JOINED = 8
 #: Bytes of a word's prefixes that are evidence beside the word, so that endings don't hide a stem.
 PREFIXES = (4, 5, 6)
-#: Segments below this significance aren't reported.
-SIGNIFICANT = 0.5
+#: Segments below this significance (1 - p) aren't reported.
+SIGNIFICANT = 0.95
 PREDICT = 0.3
 SPLIT = (4, 2)
 
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[[ord(c) for c in ".,;:!?\"'()[]{}<>*_-#$%&|"]] = True
 
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, best double, segments array<struct<start:int,stop:int,score:double,significance:double>>"
+SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence double, segments array<struct<start:int,stop:int,score:double,significance:double>>"
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> Words:
@@ -79,8 +83,58 @@ def features(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with one row, of least text, of every id that stands on several rows."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return docs
+    again = materialize(again, "repeated-ids")
+    texts = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(again, "doc_id", "left_anti").select("doc_id", "text").unionByName(texts)
+
+
+def one_of_copies(docs: DataFrame, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, y) without all but the first document of each label whose texts agree in a MinHash of their word triples.
+
+    A family of near copies would otherwise make evidence of each of its words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((ids, y))
+
+    def make():
+        def each(b: pa.RecordBatch):
+            label = label_of(b.column(0), *shared.value)
+            if not (label >= 0).any():
+                return None
+            b, label = b.filter(pa.array(label >= 0)), label[label >= 0]
+            w = tokens(*utf8(b.column(1)))
+            h = np.concatenate([w.hash, np.zeros(2, np.uint64)])
+            with np.errstate(over="ignore"):
+                h = mix64(h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:])
+            inside = np.ones(len(w), dtype=bool)  # the last two words of a text start no triple, unless it has no other
+            ends, size = w.first[1:], np.diff(w.first)
+            for k in (1, 2):
+                inside[ends[size > 2] - k] = False
+            at = np.flatnonzero(inside)
+            cut = np.searchsorted(at, w.first[:-1])
+            some = size > 0
+            sketch = np.zeros(b.num_rows, dtype=np.uint64)
+            if some.any():
+                sketch[some] = np.minimum.reduceat(h[at], cut[some])
+            return [b.column(0), label, sketch.view(np.int64)]
+
+        return each, None
+
+    got = scan(docs.select("doc_id", "text"), "text", "doc_id long, y long, sketch long", make)
+    got = got.groupBy("sketch", "y").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").toArrow()
+    return got["doc_id"].to_numpy(), got["y"].to_numpy()
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
+
+
 def document_counts(docs: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFrame:
-    """(feature, toxic, clean): training documents of each label that hold a word or prefix, by its hash."""
+    """(feature, toxic0, toxic1, clean0, clean1): training documents of each label and fold that hold a word or prefix."""
     shared = docs.sparkSession.sparkContext.broadcast((ids, y))
 
     def make():
@@ -89,6 +143,7 @@ def document_counts(docs: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFram
             if not (label >= 0).any():
                 return None
             b, label = b.filter(pa.array(label >= 0)), label[label >= 0]
+            kind = b.column(2).to_numpy() + 2 * (1 - label)
             w = tokens(*utf8(b.column(1)))
             found = features(w)
             h, of = np.concatenate([x for _, x in found]), np.concatenate([w.doc[at] for at, _ in found])
@@ -98,78 +153,56 @@ def document_counts(docs: DataFrame, ids: np.ndarray, y: np.ndarray) -> DataFram
             new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
             h, of = h[new], of[new]
             u, at = np.unique(h, return_inverse=True)
-            toxic = np.bincount(at, weights=label[of], minlength=len(u)).astype(np.int64)
-            return [u.view(np.int64), toxic, np.bincount(at, minlength=len(u)) - toxic]
+            return [u.view(np.int64), *(np.bincount(at[kind[of] == k], minlength=len(u)) for k in range(4))]
 
         return each, None
 
-    got = scan(docs.select("doc_id", "text"), "text", "feature long, toxic long, clean long", make)
-    return got.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    got = scan(docs.select("doc_id", "text", _fold()), "text", "feature long, toxic0 long, toxic1 long, clean0 long, clean1 long", make)
+    return got.groupBy("feature").agg(*[F.sum(c).alias(c) for c in got.columns[1:]])
 
 
-def evidence(counts: DataFrame, n_toxic: int, n_clean: int, z: float = Z, least: int = LEAST, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted feature hashes, weights) of those whose toxic log-odds is significant.
+def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int, z: float = Z, least: int = LEAST, prior: float = PRIOR) -> Column:
+    """Dirichlet log-odds of a feature from its document counts, moved towards zero by z standard errors; 0 below least."""
+    alpha = (toxic + clean) / F.lit(float(max(1, n_toxic + n_clean))) * F.lit(prior) + F.lit(0.01)
 
-    What is collected is bounded by the labelled sample: such a feature stands in ``least`` or more of its toxic texts.
-    """
-    if not n_toxic or not n_clean:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    alpha = (F.col("toxic") + F.col("clean")) / F.lit(float(n_toxic + n_clean)) * F.lit(prior) + F.lit(0.01)
-
-    def odds(c, n):
-        return F.log((F.col(c) + alpha) / (F.lit(float(n) + prior) - F.col(c) - alpha + F.lit(1.0)))
+    def odds(c: Column, n: int) -> Column:
+        return F.log((c + alpha) / (F.lit(float(n) + prior + 1.0) - c - alpha * F.lit(0.5)))
 
-    delta = odds("toxic", n_toxic) - odds("clean", n_clean)
-    error = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("clean") + alpha))
-    got = counts.where(F.col("toxic") >= least).select("feature", delta.alias("delta"), (delta / error).alias("z")).where((F.col("z") > z) & (F.col("delta") > 1)).toArrow()
-    h, weight = got["feature"].to_numpy().view(np.uint64), got["delta"].to_numpy()
-    order = np.argsort(h)
-    return h[order], weight[order]
+    delta = odds(toxic, n_toxic) - odds(clean, n_clean)
+    error = F.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
+    return F.when(toxic + clean >= least, F.signum(delta) * F.greatest(F.abs(delta) - F.lit(z) * error, F.lit(0.0))).otherwise(0.0)
 
 
-def explaining(hits: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Numbers of the features that explain toxic texts which those before them leave unexplained.
+def evidence(counts: DataFrame, sizes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted feature hashes, scores: features x (from all documents, for fold 0, for fold 1)) where any isn't 0.
 
-    Words that merely stand in copies of one toxic text, or beside a toxic word, are significant too; they are passed
-    over here, as the texts that hold them are explained already. A feature needs ``least`` unexplained texts that no
-    other text of the sample outnumbers by a twentieth.
+    What is collected is bounded by the labelled sample: each such feature stands in ``least`` or more of its texts.
     """
-    n = len(weights)
-    flat = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
-    clean = np.bincount(flat[toxic[of] == 0], minlength=n)
-    pairs = toxic[of] == 1
-    flat, of = flat[pairs], of[pairs]
-    order = np.argsort(flat, kind="stable")
-    flat, of = flat[order], of[order]
-    start = np.searchsorted(flat, np.arange(n + 1))
-    live, chosen = np.ones(len(hits), dtype=bool), []
-    left = np.bincount(flat, minlength=n).astype(float)
-    back = np.argsort(of, kind="stable")
-    by_text = np.searchsorted(of[back], np.arange(len(hits) + 1))
-    while n:
-        gain = np.where((left >= least) & (20 * clean <= left), left * weights, 0.0)
-        best = int(np.argmax(np.round(gain, 9)))
-        if gain[best] <= 0:
-            break
-        chosen.append(best)
-        for text in of[start[best] : start[best + 1]]:
-            if live[text]:
-                live[text] = False
-                left[flat[back[by_text[text] : by_text[text + 1]]]] -= 1
-    return np.array(sorted(chosen), dtype=np.int64)
+
+    def score(*folds: int) -> Column:
+        toxic, clean = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0)) for c in ("toxic", "clean"))
+        return log_odds(toxic, clean, sum(sizes[f"toxic{k}"] for k in folds), sum(sizes[f"clean{k}"] for k in folds))
+
+    scored = counts.select("feature", score(0, 1).alias("w"), score(1).alias("w0"), score(0).alias("w1"))  # a fold's come from the other
+    got = scored.where("w <> 0 or w0 <> 0 or w1 <> 0").toArrow()
+    h = got["feature"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.stack([got[c].to_numpy()[order] for c in ("w", "w0", "w1")], axis=1) if len(h) else np.zeros((0, 3))
 
 
 def maximal_segments(at: list[int], weight: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, stop, score) of a sequence that is drift everywhere but weight[i] at at[i].
 
-    Ruzzo and Tompa's linear-time algorithm; the drift between two positive positions is added in one step.
+    Ruzzo and Tompa's linear-time algorithm; the drift between two such places is added in one step.
     """
     out: list[list[float]] = []  # left sum, right sum, start, stop
     total, before = 0.0, 0
     for i, x in zip(at, weight, strict=True):
         total += drift * (i - before)
         before = i + 1
+        if x <= 0:
+            total += x
+            continue
         now = [total, total + x, i, i + 1]
         total += x
         while True:
@@ -184,68 +217,110 @@ def maximal_segments(at: list[int], weight: list[float], drift: float) -> list[t
     return [(int(s), int(e), r - left) for left, r, s, e in out]
 
 
+def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(lambda, ln K) of P(S < x) = exp(-K n exp(-lambda x)) by maximum likelihood; texts without a segment are S <= 0.
+
+    For each lambda the best K has a closed form. With too few segments to tell, lambda is 1.
+    """
+    n = np.maximum(n, 1).astype(float)
+    if not len(best):
+        return 1.0, 0.0
+
+    def fit(lam: float) -> tuple[float, float]:
+        found = best > 0
+        log_k = math.log(max(1, found.sum()) / (n * np.exp(-lam * best)).sum())
+        rate = math.exp(log_k) * n * np.exp(-lam * best)
+        return float((math.log(lam) + log_k + np.log(n) - lam * best)[found].sum() - rate.sum()), log_k
+
+    lam = max(np.geomspace(0.2, 5.0, 80).tolist(), key=lambda x: fit(x)[0]) if (best > 0).sum() >= 20 else 1.0
+    return float(lam), fit(lam)[1]
+
+
+def sum_evidence(x: list[float], joined: int = JOINED) -> float:
+    """-ln p of a text from the normalised scores lambda S - ln(K n) of its segments, best first.
+
+    The best r of them are joined by Karlin and Altschul's sum statistic, P = exp(-t) t^(r-1) / (r! (r-1)!), each r
+    weighing half as much as the one before; of all r the one that says most counts. Beyond the first, only segments
+    above chance level join.
+    """
+    best, total = (x[0] if x else 0.0), 0.0
+    for r, y in enumerate(x[:joined], 1):
+        if y <= 0:
+            break
+        total += y
+        if r > 1 and total > r:
+            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+    return best
+
+
 class Model:
-    """Evidence words, drift, extreme-value parameters and the logistic curve from calibrated scores to probabilities."""
+    """Scores of words and prefixes, drift, extreme-value parameters and the logistic curve from evidence to probability."""
 
-    def __init__(self, words: np.ndarray, weights: np.ndarray, drift: float = DRIFT):
+    def __init__(self, words: np.ndarray, weights: np.ndarray, drift: float = -MARGIN):
         self.words, self.weights, self.drift = words, weights, drift
         self.lam, self.log_k, self.slope, self.base = 1.0, 0.0, 0.0, -50.0
 
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(word number, feature number) of all evidence in a slice."""
-        words, index = [], []
+    def scored(self, w: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, scores without drift) of a slice's tokens that don't score 0; weights: one per feature."""
+        best = np.zeros(len(w))
+        own = None
         for number, h in features(w):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            hit = self.words[at] == h
-            words.append(number[hit])
-            index.append(at[hit])
-        return np.concatenate(words), np.concatenate(index)
-
-    def segments(self, w: Words) -> list[list[tuple[int, int, float]]]:
-        """The maximal segments of every text of a slice."""
-        n_docs = len(w.first) - 1
-        out: list[list[tuple[int, int, float]]] = [[] for _ in range(n_docs)]
+            value = np.where(self.words[at] == h, weights[at], 0.0)
+            if own is None:
+                own = value
+            np.maximum.at(best, number, value)
+        best = np.where(best > 0, best, own)  # no feature speaks for toxicity: the word's own score
+        at = np.flatnonzero(best)
+        h = w.hash[at]
+        order = np.lexsort((at, h, w.doc[at]))
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (w.doc[at][order][1:] != w.doc[at][order][:-1])
+        first = np.flatnonzero(new)
+        times = np.empty(len(at))
+        times[order] = np.arange(1, len(at) + 1) - np.repeat(first, np.diff(np.append(first, len(at))))
+        return at, best[at] / times**2
+
+    def segments(self, w: Words, weights: np.ndarray) -> list[list[tuple[int, int, float]]]:
+        """The maximal segments of every text of a slice, in text order."""
+        out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(w.first) - 1)]
         if not len(self.words) or not len(w):
             return out
-        word, index = self.hits(w)
-        weight = np.full(len(w), -np.inf)
-        np.maximum.at(weight, word, self.weights[index])
-        hit = np.flatnonzero(weight > -np.inf)
-        of, place, weight = w.doc[hit], hit - w.first[w.doc[hit]], weight[hit]
+        hit, weight = self.scored(w, weights)
+        of, place, weight = w.doc[hit], hit - w.first[w.doc[hit]], weight + self.drift
         cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
         for s, e in zip(cuts, [*cuts[1:], len(of)], strict=True):
-            out[of[s]] = maximal_segments(place[s:e].tolist(), weight[s:e].tolist(), self.drift)
+            if weight[s:e].max() > 0:
+                out[of[s]] = maximal_segments(place[s:e].tolist(), weight[s:e].tolist(), self.drift)
         return out
 
-    def calibrated(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Normalised score lambda S - ln(K n); without a segment, that of score zero."""
-        return self.lam * best - self.log_k - np.log(np.maximum(n, 1))
+    def normalised(self, score: float, n: int) -> float:
+        """lambda S - ln(K n)."""
+        return self.lam * score - self.log_k - math.log(max(n, 1))
+
+    def evidence(self, scores: list[float], n: int) -> float:
+        """-ln p of a text of n words whose segments have these scores; without any, that of score zero."""
+        return sum_evidence([self.normalised(x, n) for x in sorted(scores, reverse=True)[:JOINED]] or [self.normalised(0.0, n)])
 
     def significance(self, score: float, n: int) -> float:
         """Probability that chance text of n words holds no segment of this score."""
-        return math.exp(-math.exp(min(50.0, self.log_k + math.log(max(n, 1)) - self.lam * score)))
-
-    def fit(self, best: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> None:
-        """Extreme-value parameters from the other texts, then the logistic curve from all."""
-        clean = best[(toxic == 0)]
-        length = n[toxic == 0]
-        # P(best >= x) = 1 - exp(-K n exp(-lambda x)): slope of log counts between the thresholds that enough texts pass.
-        xs = np.unique(np.quantile(clean[clean > 0], [0.1, 0.5, 0.9])) if (clean > 0).sum() >= 20 else np.zeros(0)
-        rate = [-math.log(max(1e-12, 1 - (clean >= x).mean())) / max(1.0, length.mean()) for x in xs]
-        if len(xs) > 1 and rate[0] > rate[-1] > 0:
-            slope, at = np.polyfit(xs, np.log(rate), 1)
-            self.lam, self.log_k = float(np.clip(-slope, 0.2, 3.0)), float(at)
-        else:
-            self.lam, self.log_k = 1.0, -math.log(max(1.0, length.mean() if len(length) else 1.0))
-        x = self.calibrated(best, n)
+        return math.exp(-math.exp(min(50.0, -self.normalised(score, n))))
+
+    def fit(self, scores: list[list[float]], n: np.ndarray, toxic: np.ndarray) -> None:
+        """Extreme-value parameters from the clean texts, then the logistic curve from all."""
+        best = np.array([max(x, default=0.0) for x in scores])
+        self.lam, self.log_k = extreme_value(best[toxic == 0], n[toxic == 0])
+        x = np.array([self.evidence(s, int(m)) for s, m in zip(scores, n, strict=True)])
         self.slope, self.base = logistic(np.stack([x, np.ones_like(x)], axis=1), toxic.astype(float))
+        if self.slope <= 0:  # too few texts for the halves to show evidence: -ln p as it is, with the prior odds
+            self.slope, self.base = 1.0, math.log((toxic.sum() + 1) / ((toxic == 0).sum() + 1))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.base, -50, 50)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Coefficients of a ridge-penalised logistic regression by Newton's method."""
+    """Coefficients of a ridge-penalised logistic regression, by Newton's method."""
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -256,51 +331,64 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, split: tuple[int, int] = SPLIT) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, split: tuple[int, int] = SPLIT, margin: float = MARGIN) -> Model:
     """A model from the labelled documents that aren't held out."""
     sc = docs.sparkSession.sparkContext
     ids, y = labelled_ids(labels, "toxic", max_labelled, crc_mod(F.col("doc_id"), split[0]) != split[1])
-    model = Model(*evidence(document_counts(docs, ids, y), int(y.sum()), int((y == 0).sum())))
-    if not len(model.words):
-        return model
-    shared = sc.broadcast((ids, y, model))
-
-    def make():
-        ids, y, model = shared.value
-
-        def each(b: pa.RecordBatch):
-            label = label_of(b.column(0), ids, y)
-            if not (label >= 0).any():
-                return None
-            b, label = b.filter(pa.array(label >= 0)), label[label >= 0]
-            w = tokens(*utf8(b.column(1)))
-            word, index = model.hits(w)
-            order = np.lexsort((index, word))
-            word, index = word[order], index[order]
-            cut = np.searchsorted(w.doc[word], np.arange(b.num_rows + 1)).astype(np.int32)
-            place = (word - w.first[w.doc[word]]).astype(np.int32)
-            return [np.diff(w.first), label, pa.ListArray.from_arrays(cut, pa.array(place)), pa.ListArray.from_arrays(cut, pa.array(index.astype(np.int32)))]
-
-        return each, None
-
-    got = scan(docs.select("doc_id", "text"), "text", "n long, toxic long, places array<int>, found array<int>", make).toArrow()
-    toxic, n = got["toxic"].to_numpy(), got["n"].to_numpy()
-    places, found = (got[c].to_pylist() for c in ("places", "found"))
-    chosen = explaining([np.unique(np.array(f, dtype=np.int64)) for f in found], toxic, model.weights)
-    used = np.full(len(model.words), -np.inf)
-    used[chosen] = model.weights[chosen]
-    best = np.zeros(len(toxic))
-    for i, (p, f) in enumerate(zip(places, found, strict=True)):
-        at: dict[int, float] = {}
-        for k, j in zip(p, f, strict=True):
-            if used[j] > at.get(k, 0.0):
-                at[k] = used[j]
-        if at:
-            best[i] = max(x[2] for x in maximal_segments(list(at), list(at.values()), model.drift))
-    order = np.lexsort((toxic, n, best))
-    model = Model(model.words[chosen], model.weights[chosen])
-    model.fit(best[order], n[order], toxic[order])
-    return model
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(0, np.uint64), np.zeros(0))
+    docs = one_row_each(docs.select("doc_id", "text"))
+    ids, y = one_of_copies(docs, ids, y)
+    shared = sc.broadcast((ids, y))
+
+    def sizes() -> dict[str, int]:
+        frame = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids), "y": pa.array(y)}))
+        got = {(r.y, r.fold): r["count"] for r in frame.join(docs, "doc_id", "left_semi").groupBy("y", _fold()).count().collect()}
+        return {f"{c}{k}": got.get((v, k), 0) for c, v in (("toxic", 1), ("clean", 0)) for k in (0, 1)}
+
+    words, weights = evidence(document_counts(docs, ids, y), sizes())
+    if not len(words):
+        return Model(words, weights[:, 0])
+    model = sc.broadcast(Model(words, weights, 0.0))
+
+    def by_fold(rows: DataFrame, schema: str, say) -> pa.Table:
+        """say(model, words, weights of the fold, labels) per slice and fold of the labelled rows."""
+
+        def make():
+            def each(b: pa.RecordBatch):
+                label = label_of(b.column(0), *shared.value)
+                out = []
+                for k in (0, 1):
+                    mine = (label >= 0) & (b.column(2).to_numpy() == k)
+                    if mine.any():
+                        w = tokens(*utf8(b.column(1).filter(pa.array(mine))))
+                        out.append(say(model.value, w, model.value.weights[:, 1 + k], label[mine]))
+                return [pa.concat_arrays(x) for x in zip(*out, strict=True)] if out else None
+
+            return each, None
+
+        return scan(rows.select("doc_id", "text", _fold()), "text", schema, make)
+
+    def mean(m: Model, w: Words, weights: np.ndarray, label: np.ndarray) -> list[pa.Array]:
+        hit, score = m.scored(w, weights)
+        clean = label == 0
+        return [pa.array([int(np.diff(w.first)[clean].sum())]), pa.array([int(np.round(score[clean[w.doc[hit]]] * 1e6).sum())])]
+
+    total = by_fold(docs, "n long, micro long", mean).agg(F.sum("n").alias("n"), F.sum("micro").alias("micro")).first()
+    drift = -margin - (total["micro"] or 0) / 1e6 / max(1, total["n"] or 0)
+    model = sc.broadcast(Model(words, weights, drift))
+
+    def tops(m: Model, w: Words, weights: np.ndarray, label: np.ndarray) -> list[pa.Array]:
+        best = [sorted((x for _, _, x in s), reverse=True)[:JOINED] for s in m.segments(w, weights)]
+        return [pa.array(np.diff(w.first)), pa.array(label), pa.array(best, pa.list_(pa.float64()))]
+
+    got = by_fold(docs, "n long, toxic long, best array<double>", tops).toArrow()
+    n, toxic, best = got["n"].to_numpy(), got["toxic"].to_numpy(), got["best"].to_pylist()
+    order = sorted(range(len(n)), key=lambda i: (best[i], n[i], toxic[i]))  # so that reruns agree to the last bit
+    used = weights[:, 0] != 0
+    out = Model(words[used], weights[used, 0], drift)
+    out.fit([best[i] for i in order], n[order], toxic[order])
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, split: tuple[int, int] = SPLIT) -> DataFrame:
@@ -316,17 +404,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         def each(b: pa.RecordBatch):
             w = tokens(*utf8(b.column(2)))
             n = np.diff(w.first)
-            found = model.segments(w)
-            best = np.array([max((x[2] for x in s), default=0.0) for s in found])
-            score = model.probability(model.calibrated(best, n))
-            score = np.where(best > 0, score, np.minimum(score, 0.01))
+            found = model.segments(w, model.weights)
+            evidence = np.array([model.evidence([x for _, _, x in s], int(m)) for s, m in zip(found, n, strict=True)])
+            some = np.array([bool(s) for s in found])
+            score = model.probability(evidence)
+            score = np.where(some, score, np.minimum(score, 0.01))
             said = [[(s, e, x, p) for s, e, x in f if (p := model.significance(x, int(m))) >= SIGNIFICANT] for f, m in zip(found, n, strict=True)]
             rows = [[dict(zip(("start", "stop", "score", "significance"), x, strict=True)) for x in f] for f in said]
-            return [b.column(0), b.column(1), score, (score >= PREDICT).astype(np.int32), best, pa.array(rows, kind)]
+            return [b.column(0), b.column(1), score, (score >= PREDICT).astype(np.int32), np.where(some, evidence, 0.0), pa.array(rows, kind)]
 
         return each, None
 
     return scan(rows, "text", SCHEMA, make)
 
 
-__all__ = ["toxicity", "train", "Model", "maximal_segments", "tokens", "logistic"]
+__all__ = ["toxicity", "train", "Model", "maximal_segments", "extreme_value", "sum_evidence", "tokens", "logistic"]

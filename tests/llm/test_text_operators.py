@@ -376,22 +376,74 @@ def test_maximal_segments():
     for _ in range(60):
         n = int(RNG.integers(1, 14))
         at = sorted(RNG.choice(n, int(RNG.integers(0, n + 1)), replace=False).tolist())
-        x = [round(float(y), 3) for y in RNG.random(len(at)) + 0.01]
+        x = [round(float(y), 3) for y in RNG.random(len(at)) * 1.3 - 0.3]
         w = [-0.31] * n
         for i, y in zip(at, x, strict=True):
             w[i] = y
         assert [(s, e, round(z, 6)) for s, e, z in toxicity.maximal_segments(at, x, -0.31)] == naive_segments(w)
 
 
+def test_extreme_value_fit_finds_the_parameters():
+    rng = np.random.default_rng(7)
+    n = rng.integers(50, 2000, 6000)
+    s = (np.log(0.004 * n) - np.log(-np.log(rng.random(6000)))) / 1.7  # P(S < x) = exp(-K n exp(-lambda x))
+    lam, log_k = toxicity.extreme_value(np.maximum(s, 0.0), n)
+    assert abs(lam - 1.7) < 0.1 and abs(log_k - math.log(0.004)) < 0.2
+    assert toxicity.extreme_value(np.zeros(50), np.full(50, 100))[0] == 1.0 and toxicity.extreme_value(np.zeros(0), np.zeros(0)) == (1.0, 0.0)
+
+
+def test_sum_statistic():
+    x = [6.0, 5.0, 4.0, -1.0, 9.0]
+
+    def minus_log_p(r):
+        t = sum(x[:r])
+        return -math.log(math.exp(-t) * t ** (r - 1) / math.factorial(r) / math.factorial(r - 1) * 2**r)
+
+    assert math.isclose(toxicity.sum_evidence(x), max(x[0], minus_log_p(2), minus_log_p(3)))
+    assert toxicity.sum_evidence([-2.0]) == -2.0 and toxicity.sum_evidence([]) == 0.0
+
+
+def toxic_rows():
+    plain = [f"{a}{b}" for a in ("the", "cat", "sat", "mat", "hat", "blue", "sky", "run") for b in ("", "ly", "er", "ing")]
+    return [(i, " ".join(RNG.choice(plain, 40)) + (" you MORONic fool," if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
+
+
+def test_word_scores_are_the_dirichlet_log_odds(spark):
+    rows = [(i, t) for i, t, *_ in toxic_rows()] + [(7, "another text of id seven"), (None, "MORONic")]
+    df = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string")  # repeated rows count once
+    ids, y = np.arange(400), (np.arange(400) % 4 == 0).astype(np.int64)
+    counts = {r.feature: r for r in toxicity.document_counts(toxicity.one_row_each(df), ids, y).collect()}
+    held = defaultdict(lambda: [0, 0])
+    text = {i: min(t for j, t in rows if j == i) for i in range(400)}
+    for i, t in text.items():
+        w = toxicity.tokens(*wordvec.utf8(pa.array([t])))
+        for h in {x for _, hs in toxicity.features(w) for x in hs.view(np.int64).tolist()}:
+            held[h][i % 4 == 0] += 1
+    assert {f: (r.clean0 + r.clean1, r.toxic0 + r.toxic1) for f, r in counts.items()} == {f: tuple(v) for f, v in held.items()}
+    sizes = {"toxic0": 60, "toxic1": 40, "clean0": 160, "clean1": 140}
+    words, weights = toxicity.evidence(toxicity.document_counts(toxicity.one_row_each(df), ids, y), sizes)
+    want = {}
+    for f, (c, t) in held.items():
+        a = (c + t) / 400 * 50 + 0.01
+        odds = lambda k, n: math.log((k + a) / (n + 51 - k - a / 2))  # noqa: E731, B023
+        d, e = odds(t, 100) - odds(c, 300), math.sqrt(1 / (t + a) + 1 / (c + a))
+        if c + t >= 3 and abs(d) > 3 * e:
+            want[f] = math.copysign(abs(d) - 3 * e, d)
+    got = {int(f): float(v) for f, v in zip(words.view(np.int64), weights[:, 0], strict=True) if v}
+    assert got.keys() == want.keys() and all(math.isclose(got[f], want[f], rel_tol=1e-9) for f in got)
+
+
 def test_toxicity(spark, empty, labels):
-    rows = [(i, " ".join(RNG.choice(["the", "cat", "sat", "mat", "hat", "blue"], 40)) + (" you MORONic fool," if i % 4 == 0 else ""), "en", "s", 1) for i in range(200)] + ODD
-    df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit(0))
-    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    rows = toxic_rows() + ODD
+    df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit(0)).withColumn("fold", F.lit("x"))
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(df, lab).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2) for r in got)
     by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id >= 11}
-    assert all(by[i].predicted == (i % 4 == 0) for i in range(11, 200)) and by[12].segments[0].start >= 40
+    assert all(by[i].predicted == (i % 4 == 0) for i in range(11, 400)) and by[12].segments[0].start >= 40
+    again = toxicity.toxicity(df.union(df.where("doc_id % 3 = 0")).repartition(5), lab.union(lab)).collect()
+    assert {(r.doc_id, r.score) for r in again if r.doc_id is not None and r.doc_id != 10} == {(r.doc_id, r.score) for r in got if r.doc_id is not None and r.doc_id != 10}
     none = toxicity.toxicity(df, lab.where("false")).collect()
     assert all(r.predicted == 0 for r in none) and toxicity.toxicity(empty, labels).count() == 0
 
