@@ -5,11 +5,15 @@ A document's size is its number of words ``[^\\x20\\x09-\\x0D]+``. Sources, in c
 shared again by weight until none is above. Each document of a source is taken target / source_size times on average:
 its whole part surely, its fractional part by balanced sampling.
 
+A document that is a large part of its source's target (``large``) would stay fractional to the end, as no other could
+make up for it; such documents are drawn first by their hash, and the others' probabilities are scaled to what is left.
+
 Flight phase: in blocks of a source's documents, three fractional documents at a time move along the null vector of the
 two constraints (document total, token total) until one reaches 0 or 1. A block leaves at most two fractional
-documents; those of all blocks of a source fly again, level by level, until one block is left. Landing: a dozen
-documents of that block, of all sizes, don't fly; of all choices of them the one nearest to the token total is taken. Blocks are dealt by hash, so a source with a third of all
-documents is many groups. Draws come from a hash of the row, so reruns agree.
+documents and a dozen, of falling sizes, that don't fly; those of all blocks of a source fly again, level by level, until
+one block is left. Landing: of all choices of its dozen the one nearest to the token total is taken. Blocks are dealt by hash, so a source with a third of all
+documents is many groups; of a row that is repeated more often than a block holds, the repeats are numbered first. Draws
+come from a hash of the row, so reruns agree.
 
 Edge cases: null and empty texts have size 0 and are taken 0 times; a null source is one source; null doc_ids take part;
 repeated rows are drawn each for itself; a table without words takes nothing; an empty one gives no rows. Only doc_id,
@@ -30,8 +34,10 @@ from .shared import materialize, ship
 MOST = 3
 #: Documents that one flight handles.
 BLOCK = 4096
-#: Documents of a source that the landing decides on together, beside the two at most that a flight leaves.
+#: Documents of a source that the landing decides on together, beside those that a flight leaves.
 LANDING = 12
+#: Part of its source's target from which a document is drawn before the flight.
+LARGE = 0.02
 
 
 def size_of(text: Column) -> Column:
@@ -114,19 +120,69 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def ladder(size: np.ndarray, steps: int = LANDING) -> np.ndarray:
+    """Places of documents (sizes in falling order) whose sizes fall by about 1.7 each, so that sums of them come near any value."""
+    out: list[int] = []
+    for k in range(min(steps, len(size))):
+        at = int(np.searchsorted(-size, -size[0] / 1.7**k))
+        at = min(max(at, out[-1] + 1 if out else 0), len(size) - 1)
+        out += [at] if at not in out else []
+    return np.array(out, dtype=int)
+
+
 def _flight(pdf: pd.DataFrame) -> pd.DataFrame:
-    # Large documents fly first. In a source's last block a few of all sizes stay behind for the landing.
+    # Large documents fly first. A ladder of sizes stays behind for the next level and, in the last block, the landing.
     pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     draw = ((pdf["h"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / float(1 << 53)
     size, p = pdf["size"].to_numpy(), pdf["p"].to_numpy()
     last = pdf["blocks"].iloc[0] == 1
-    stay = np.unique(np.linspace(0, len(p) - 1, LANDING).round().astype(int)) if last else np.zeros(0, dtype=int)
+    stay = ladder(size) if last or len(p) > 4 * LANDING else np.zeros(0, dtype=int)
     fliers = np.setdiff1d(np.arange(len(p)), stay)
     p[fliers] = fly(p[fliers], size[fliers], draw[fliers])
     pdf["p"] = land(p, size) if last else p
     return pdf
 
 
+def _open(p: str = "p") -> Column:
+    return (F.col(p) > 0) & (F.col(p) < 1)
+
+
+def draw_large(marked: DataFrame, more: list[str], most: int = MOST, large: float = LARGE) -> DataFrame:
+    """marked with the large documents of each source decided and the others' p scaled to the tokens that are left."""
+    is_large = _open() & (F.col("size") > F.lit(large) * F.col("target"))
+    draw = F.shiftrightunsigned(F.xxhash64("h", F.lit("large")), 11).cast("double") / float(1 << 53)
+    due = F.col("p") * F.col("size")
+    marked = marked.withColumns({"large": is_large, "draw": draw})
+    # Winners in the order of their draws, as long as they don't exceed what the source is due.
+    total = marked.where(_open()).groupBy(F.col("source").alias("of")).agg(F.sum(due).alias("most"), F.max("large").alias("some")).where("some")
+    drawn = marked.where("large").join(total, F.col("source").eqNullSafe(F.col("of"))).drop("of", "some")
+    w = W.partitionBy("source").orderBy("draw", "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, 0)
+    wins = F.when(F.col("draw") < F.col("p"), F.col("size")).otherwise(0)
+    drawn = drawn.withColumn("won", ((F.col("draw") < F.col("p")) & (F.sum(wins).over(w) <= 1.001 * F.col("most"))).cast("double")).drop("most")
+    marked = materialize(marked.where("not large").withColumn("won", F.lit(0.0)).unionByName(drawn), "drawn").drop("draw")
+    of = marked.where(_open()).groupBy(F.col("source").alias("of")).agg(
+        F.sum(due).alias("due"), F.sum(F.col("won") * F.col("size")).alias("won_size"), F.sum(F.when(~F.col("large"), due)).alias("rest"), F.max("large").alias("some")
+    ).where("some").select("of", F.least(F.greatest(F.coalesce(F.try_divide(F.round(F.col("due") - F.col("won_size"), 3), F.round("rest", 3)), F.lit(1.0)), F.lit(0.0)), F.lit(1e6)).alias("scale"))
+    joined = marked.join(of, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    p = F.when(F.col("large"), F.col("won")).when(_open() & F.col("scale").isNotNull(), F.least(F.col("p") * F.col("scale"), F.lit(most) - F.col("whole"))).otherwise(F.col("p"))
+    joined = joined.withColumn("p", p).withColumn("over", F.floor("p").cast("long"))  # others may have to be taken once more
+    return joined.withColumns({"p": F.col("p") - F.col("over"), "whole": F.col("whole") + F.col("over")}).drop("large", "won", "scale", "over")
+
+
+def numbered_repeats(flying: DataFrame, block: int) -> DataFrame:
+    """flying with a column nth: 0, but for rows repeated more often than ``block``, whose repeats are numbered.
+
+    Equal rows are folded before the shuffle and unfolded again, so that none is one task's group.
+    """
+    often = flying.groupBy("h").count().where(F.col("count") > block).select("h")
+    if often.isEmpty():
+        return flying.withColumn("nth", F.lit(0))
+    often = materialize(often, "often")
+    folded = flying.join(often, "h", "left_semi").groupBy(*flying.columns).agg(F.count("*").alias("times"))
+    unfolded = folded.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
+    return flying.join(often, "h", "left_anti").withColumn("nth", F.lit(0)).unionByName(unfolded)
+
+
 def copies(rows: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """rows (doc_id, source, size, more columns) -> the same with source_size, target and n_copies (long).
 
@@ -145,15 +201,16 @@ def copies(rows: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
         .withColumn("h", F.xxhash64("doc_id", "size"))
         .select("doc_id", "source", "size", *more, "source_size", "target", "whole", "p", "h")
     )
+    marked = draw_large(marked, more, most)
     is_open = "p > 0 and p < 1"
-    parts, flying, level = [marked.where(f"not ({is_open})")], marked.where(is_open), 0
+    parts, flying, level = [marked.where(f"not ({is_open})")], numbered_repeats(marked.where(is_open), block), 0
     while True:
         per = flying.groupBy(F.col("source").alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
         dealt = flying.join(per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", F.lit(level)), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", "nth", F.lit(level)), F.col("blocks")).cast("int"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
         flown = materialize(dealt.groupBy("source", "block").applyInPandas(_flight, schema).drop("block", "blocks"), "flown")
-        parts.append(flown.where(f"not ({is_open})"))
+        parts.append(flown.where(f"not ({is_open})").drop("nth"))
         flying = flown.where(is_open)
         level += 1
         if flying.isEmpty():

@@ -282,6 +282,18 @@ def test_mixing(docs, empty):
     assert mixed.columns == docs.columns and mixed.select(mixing.size_of(F.col("text")).alias("n")).agg(F.sum("n")).first()[0] == sum(r.taken for r in got)
 
 
+def test_every_source_comes_near_its_target(spark):
+    """Heavy tails, one document larger than half its source, repeated rows and null ids by the thousand."""
+    rng = np.random.default_rng(13)
+    rows = [(k, "w " * int(n), f"s{k % 5}") for k, n in enumerate(np.minimum(rng.pareto(1.1, 3000) * 20 + 1, 4000))]
+    rows += [(9000 + k, "w " * 20_000, f"s{k}") for k in range(3)] + [(None, "w " * 7, "s3")] * 5000 + [(77, "w " * 9, None)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for block in (mixing.BLOCK, 512):
+        marked = df.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+        got = mixing.copies(marked, block=block).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("n_copies")).alias("taken")).collect()
+        assert len(got) == 6 and all(abs(r.taken - r.target) <= max(10.0, 0.001 * r.target) for r in got), got
+
+
 def test_flight_keeps_totals():
     size = RNG.integers(1, 500, 400)
     p = np.full(400, 0.37)
