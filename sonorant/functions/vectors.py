@@ -63,6 +63,20 @@ def clamp(target: Column, anchor: Column, cap: float) -> Column:
     return F.when(d <= cap, target).otherwise(F.zip_with(anchor, target, lambda a, t: a + (t - a) * (F.lit(cap) / d)))
 
 
+def transition_shape(df: DataFrame, start: str, end: str, duration_ms: Column) -> DataFrame:
+    """W60 over normalised vectors: unit direction, magnitude, velocity (magnitude per ms; 0 without duration), curvature.
+
+    A displacement of 1e-10 or less has no direction (zeros). Curvature is the gap between the middle of both vectors and
+    half of the displacement.
+    """
+    gap = F.zip_with(end, start, lambda e, s: e - s)
+    size = F.sqrt(_sum(F.transform(gap, lambda x: x * x)))
+    bend = F.zip_with(F.zip_with(start, end, lambda s, e: (s + e) / 2), F.transform(gap, lambda x: x / 2), lambda m, h: (m - h) * (m - h))
+    df = df.withColumn("magnitude", size).withColumn("curvature", F.sqrt(_sum(bend)))
+    df = df.withColumn("direction", F.transform(gap, lambda x: F.when(F.col("magnitude") > 1e-10, x / F.col("magnitude")).otherwise(0.0)))
+    return df.withColumn("velocity", F.when(duration_ms > 0, F.col("magnitude") / duration_ms).otherwise(0.0))
+
+
 def soft_gate(x: Column, masks: list[list[float]], p: Column, confident: float = 0.5) -> Column:
     """X times the probability-weighted sum of masks; x itself if no probability reaches ``confident``."""
     gate = F.zip_with(F.array(*[F.array(*map(F.lit, m)) for m in masks]), p, lambda m, q: F.transform(m, lambda v: v * q))

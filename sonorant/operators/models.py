@@ -18,6 +18,12 @@ from .filters import purity
 from .sequences import r6
 
 
+def _together(v: pd.Series) -> np.ndarray | list[np.ndarray]:
+    """Rows x places, or a list of rows where they differ in length (series for time warping)."""
+    rows = [np.asarray(x) for x in v]
+    return np.stack(rows) if len({len(x) for x in rows}) == 1 else rows
+
+
 def _in_group(rows: DataFrame, group: str, label, most: int) -> DataFrame:
     """(group, id, cluster) by a function (n x d array) -> labels per group; groups over ``most`` rows are an error, not cut."""
 
@@ -25,7 +31,7 @@ def _in_group(rows: DataFrame, group: str, label, most: int) -> DataFrame:
         if len(pdf) > most:
             raise ValueError(f"a group holds {len(pdf)} rows, over the bound of {most}; split the key")
         pdf = pdf.sort_values("id")
-        return pd.DataFrame({group: pdf[group], "id": pdf["id"], "cluster": label(np.stack(pdf["v"].to_numpy())).astype("int64")})
+        return pd.DataFrame({group: pdf[group], "id": pdf["id"], "cluster": label(_together(pdf["v"])).astype("int64")})
 
     kind = rows.schema[group].dataType.simpleString()
     return rows.select(group, "id", "v").groupBy(group).applyInPandas(run, f"`{group}` {kind}, id long, cluster long")

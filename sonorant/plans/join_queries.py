@@ -35,8 +35,8 @@ query("j01_align", f"with {_IV}, {_ALIGN} select * from al")(lambda s, d: j.alig
 query("j02_type_profiles", f"with {_IV}, {_ALIGN}, c as (select a_id % 7 as cluster, label, count(*) as n from al where label <> 'Unknown' group by all), r as (select cluster, label, round(n / sum(n) over (partition by cluster), 6) as share, row_number() over (partition by cluster order by n desc, label) as k from c) select cluster, label, share from r where k = 1")(
     lambda s, d: j.type_profiles(a := j.align(*_sides(s, d), 2000), a.select("a_id", (F.col("a_id") % 7).alias("cluster")))
 )
-query("j03_superpositions", f"with {_IV} select a.id as a_id, b.id as b_id, round((least(a.stop, b.stop) - greatest(a.start, b.start)) / least(a.stop - a.start, b.stop - b.start), 6) as ratio from iv a join iv b on a.id < b.id and a.event_type = b.event_type and a.start < b.stop and b.start < a.stop where a.user_id % 3 = 0 and b.user_id % 3 = 0 and round((least(a.stop, b.stop) - greatest(a.start, b.start)) / least(a.stop - a.start, b.stop - b.start), 6) >= 0.3")(
-    lambda s, d: j.superpositions(intervals(s, d).where("user_id % 3 = 0").withColumnRenamed("event_type", "modality"), 2000)
+query("j03_superpositions", f"with {_IV} select a.id as a_id, b.id as b_id, round((least(a.stop, b.stop) - greatest(a.start, b.start)) / least(a.stop - a.start, b.stop - b.start), 6) as ratio from iv a join iv b on a.id < b.id and a.event_type = b.event_type and a.start < b.stop and b.start < a.stop where round((least(a.stop, b.stop) - greatest(a.start, b.start)) / least(a.stop - a.start, b.stop - b.start), 6) >= 0.3")(
+    lambda s, d: j.superpositions(intervals(s, d).withColumnRenamed("event_type", "modality"), 2000)
 )
 query("j04_vocabulary", f"with {_IV}, x as (select i.id, i.user_id % 6 - 1 as cluster, any_value(i.stop - i.start) as duration, count(o.id) > 0 as has from iv i left join (select * from iv where event_type = 'error') o on o.user_id = i.user_id and o.start between i.start and i.stop where i.event_type = 'click' and i.user_id % 6 <> 0 group by all) select cluster, count(*) as members, round(avg(duration), 6) as mean_ms, round(stddev_pop(duration), 6) as std_ms, sum(has::int)::bigint as annotated from x group by cluster")(
     lambda s, d: j.vocabulary(
@@ -146,15 +146,15 @@ for _n in ("j17_nearest_centroid", "j18_student_predict"):
 query("j19_validate_sequences", f"with {T23}, {B23}, {M} , p as (select src, dst, q as p from m where n >= 20) select seq, count(*) as steps, count(*) filter (coalesce(round(p, 6), 0) <= 0.01) as violations, round(avg((coalesce(round(p, 6), 0) > 0.01)::int) / 2 + avg(coalesce(round(p, 6), 0)) / 2, 6) as confidence from b left join p on b.src = p.src and b.dst = p.dst group by seq")(
     lambda s, d: j.validate_sequences(seq.bigrams(numbers(s, d)), seq.transition_matrix(numbers(s, d)).where("n >= 20"))
 )
-_EDGE = "select o_custkey as src, (o_custkey * 7 + o_orderkey) % 1500 as dst from orders where o_orderkey % 5 = 0"
-query("j20_without_incoming", f"with e as ({_EDGE}) select distinct src from e where src not in (select dst from e)")(lambda s, d: j.without_incoming(table(s, d, "orders").where("o_orderkey % 5 = 0").selectExpr("o_custkey as src", "(o_custkey * 7 + o_orderkey) % 1500 as dst")))
+_EDGE = "select o_custkey as src, (o_custkey * 6) % 1500 as dst from orders"
+query("j20_without_incoming", f"with e as ({_EDGE}) select distinct src from e where src not in (select dst from e)")(lambda s, d: j.without_incoming(table(s, d, "orders").selectExpr("o_custkey as src", "(o_custkey * 6) % 1500 as dst")))
 query("j21_across_groups", "select p_name, count(distinct p_brand) as groups from part group by p_name having count(distinct p_brand) > 1")(lambda s, d: j.across_groups(table(s, d, "part"), "p_name", "p_brand"))
 query("j22_allowed_probabilities", f"with {T}, {B}, c as (select src, dst, count(*) as n from b where (src, dst) in (('click', 'view'), ('view', 'click'), ('click', 'error')) group by all) select *, round(n / sum(n) over (partition by src), 6) as p from c")(
     lambda s, d: j.allowed_probabilities(seq.bigrams(events(s, d)), s.createDataFrame([("click", "view"), ("view", "click"), ("click", "error")], "src string, dst string"))
 )
-query("j23_compare_predictions", "with a as (select l_orderkey * 10 + l_linenumber as id, min(l_returnflag) as l, avg(l_tax + 0.01) as c, avg(l_discount) as s from lineitem where l_orderkey % 4 = 0 group by 1), b as (select l_orderkey * 10 + l_linenumber as id, max(l_returnflag) as l, max(l_tax + 0.01) as c, max(l_discount) as s from lineitem group by 1) select a.id, a.l = b.l as same, round(case when a.l <> b.l then 1 else (abs(a.c - b.c) / greatest(a.c, b.c) + abs(a.s - b.s)) / 2 end, 6) as divergence from a join b on a.id = b.id")(
+query("j23_compare_predictions", "with a as (select l_orderkey * 10 + l_linenumber as id, min(l_returnflag) as l, avg(l_tax + 0.01) as c, avg(l_discount) as s from lineitem group by 1), b as (select l_orderkey * 10 + l_linenumber as id, max(l_returnflag) as l, max(l_tax + 0.01) as c, max(l_discount) as s from lineitem group by 1) select a.id, a.l = b.l as same, round(case when a.l <> b.l then 1 else (abs(a.c - b.c) / greatest(a.c, b.c) + abs(a.s - b.s)) / 2 end, 6) as divergence from a join b on a.id = b.id")(
     lambda s, d: j.compare_predictions(
-        table(s, d, "lineitem").where("l_orderkey % 4 = 0").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_returnflag").alias("a_label"), F.avg(F.col("l_tax") + 0.01).alias("a_conf"), F.avg("l_discount").alias("a_score")),
+        table(s, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_returnflag").alias("a_label"), F.avg(F.col("l_tax") + 0.01).alias("a_conf"), F.avg("l_discount").alias("a_score")),
         table(s, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.max("l_returnflag").alias("b_label"), F.max(F.col("l_tax") + 0.01).alias("b_conf"), F.max("l_discount").alias("b_score")),
     )
 )

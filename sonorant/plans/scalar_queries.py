@@ -37,20 +37,20 @@ _vec("s07_clamp", f"round(least({_SS}, 1.5), 6) as moved", lambda a, b: [r6(v.eu
 query("s08_soft_gate", f"with {_VEC} select id, round(case when (id % 10) / 10 >= 0.5 or 1 - (id % 10) / 10 >= 0.5 then list_sum(v) * ((id % 10) / 10 + 0.5 * (1 - (id % 10) / 10)) else list_sum(v) end, 6) as total from ve")(
     lambda s, d: vectors(s, d).select("id", r6(v._sum(v.soft_gate(F.col("v"), [[1.0] * 64, [0.5] * 64], F.array((F.col("id") % 10) / 10, 1 - (F.col("id") % 10) / 10)))).alias("total"))
 )
-_SC = f"with {_VEC}, sc as (select k, avg(v[k]) as m, stddev_pop(v[k]) as s from (select v, unnest(range(1, 65)) as k from ve) group by k) select id, k, round((v[k] - m) / s, 6) as z from (select id, v, unnest(range(1, 65)) as k from ve where id % 10 = 0) join sc using (k)"
+_SC = f"with {_VEC}, sc as (select k, avg(v[k]) as m, stddev_pop(v[k]) as s from (select v, unnest(range(1, 65)) as k from ve) group by k) select id, k, round((v[k] - m) / s, 6) as z from (select id, v, unnest(range(1, 65)) as k from ve) join sc using (k)"
 for _n in ("s09_normalize", "s10_standardize"):
-    query(_n, _SC)(lambda s, d: v.scaled(vectors(s, d), "v").where("id % 10 = 0").select("id", F.posexplode("v").alias("k", "z")).select("id", (F.col("k") + 1).cast("long").alias("k"), r6("z").alias("z")))
+    query(_n, _SC)(lambda s, d: v.scaled(vectors(s, d), "v").select("id", F.posexplode("v").alias("k", "z")).select("id", (F.col("k") + 1).cast("long").alias("k"), r6("z").alias("z")))
 _TRI = f"with {_VEC}, tr as (select a.id, a.v as a, b.v as b, c.v as c from ve a join ve b on b.id = a.id + 1 join ve c on c.id = a.id + 2), g as (select id, round({_SS} - {_SS.replace('(a, b)', '(c, b)')}, 6) as gain from tr)"
 query("s11_convergence", f"{_TRI} select id, gain, round(1 / (1 + exp(-10 * gain)), 6) as score, case when gain > 0.01 then 'converging' when gain < -0.01 then 'diverging' else 'neutral' end as direction from g")(lambda s, d: pairs(s, d).join(vectors(s, d).selectExpr("id - 2 as id", "v as c"), "id").select("id", *[x.alias(k) for k, x in c.convergence(F.col("a"), F.col("b"), F.col("c")).items()]))
 query("s12_latency_score", "select event_id, round(case when value between 2 and 60 then exp(-3 * abs(value - 20) / 20) else 0 end, 6) as score from events")(lambda s, d: table(s, d, "events").select("event_id", c.latency_score(F.col("value"), 2, 60, 20).alias("score")))
 query("s13_interaction", "select event_id, round(case when value between 2 and 60 then 0.6 * (event_id % 10) / 10 + 0.4 * (user_id % 10) / 10 else 0 end, 6) as score from events")(lambda s, d: table(s, d, "events").select("event_id", c.interaction(F.col("value"), 2, 60, F.col("event_id") % 10 / 10, F.col("user_id") % 10 / 10).alias("score")))
 query("s14_mahalanobis", "select event_id, round(2 * (value - 40) * (value - 40) + 2 * 0.5 * (value - 40) * (user_id - 70) + (user_id - 70) * (user_id - 70), 6) as d2 from events")(lambda s, d: table(s, d, "events").select("event_id", r6(c.mahalanobis(F.array(F.col("value"), F.col("user_id").cast("double")), F.array(F.lit(40.0), F.lit(70.0)), F.array(F.array(F.lit(2.0), F.lit(0.5)), F.array(F.lit(0.5), F.lit(1.0))))).alias("d2")))
 query("s15_anomaly", "select event_id, round(least(1, greatest(0, 1 - exp(-value / 10))), 6) as anomaly from events")(lambda s, d: table(s, d, "events").select("event_id", c.anomaly(F.col("value")).alias("anomaly")))
-_ED = "ed as (select l_suppkey as src, l_partkey as dst, l_quantity / 50 as distance, l_discount * 10 as tie, l_linenumber % 2 = 0 as sight, l_tax * 10 as facing, l_tax * 10 as arousal from lineitem where l_orderkey % 30 = 0)"
+_ED = "ed as (select l_suppkey as src, l_partkey as dst, l_quantity / 50 as distance, l_discount * 10 as tie, l_linenumber % 2 = 0 as sight, l_tax * 10 as facing, l_tax * 10 as arousal from lineitem)"
 
 
 def edges(s, d):
-    return table(s, d, "lineitem").where("l_orderkey % 30 = 0").selectExpr("l_suppkey as src", "l_partkey as dst", "l_quantity / 50 as distance", "l_discount * 10 as tie", "l_linenumber % 2 = 0 as sight", "l_tax * 10 as facing", "l_tax * 10 as arousal")
+    return table(s, d, "lineitem").selectExpr("l_suppkey as src", "l_partkey as dst", "l_quantity / 50 as distance", "l_discount * 10 as tie", "l_linenumber % 2 = 0 as sight", "l_tax * 10 as facing", "l_tax * 10 as arousal")
 
 
 query("s16_receivers", f"with {_ED}, sc as (select *, round(0.4 * exp(-distance) + 0.3 * tie + 0.3 * case when sight then 1 else 0.1 end + 0.1 * cos(facing), 6) as score from ed), b as (select src, arg_max(struct_pack(d := dst, s := score), struct_pack(s := score, d := -dst)) as m, max(arousal) as arousal from sc group by src) select src, case when m.s < 0.8 and arousal > 0.7 then 'system' when m.s < 0.8 then 'broadcast' else m.d::varchar end as receiver, m.s as score from b")(lambda s, d: c.receivers(edges(s, d), 0.8))
@@ -70,13 +70,13 @@ def twin(s, d):
 
 query("s23_feature_similarity", _TW + "select key, round(greatest(0, 1 - (2 * abs(f0 - bf) / 5000 + case when hnr > 0 and bh > 0 then abs(hnr - bh) / 30 else 0 end) / (2 + case when hnr > 0 and bh > 0 then 1 else 0 end)), 6) as similarity from q")(lambda s, d: twin(s, d).select("key", c.feature_similarity([F.col("f0"), F.col("hnr")], [F.col("bf"), F.col("bh")], [2.0, 1.0], [5000.0, 30.0]).alias("similarity")))
 query("s24_timbre_distance", _TW + "select key, round(sqrt(pow((f0 - bf) / 5000, 2) + pow((hnr - bh) / 30, 2)), 6) as distance from q")(lambda s, d: twin(s, d).select("key", c.timbre_distance([F.col("f0"), F.col("hnr")], [F.col("bf"), F.col("bh")], [5000.0, 30.0]).alias("distance")))
-_CA = "ca as (select l_orderkey as id, l_partkey as class, l_partkey % 3 as grp, l_orderkey % 3 as wanted, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as rank, l_quantity / 50 as conf, l_discount * 10 as p from lineitem where l_orderkey % 5 = 0)"
+_CA = "ca as (select l_orderkey as id, l_partkey as class, l_partkey % 3 as grp, l_orderkey % 3 as wanted, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as rank, l_quantity / 50 as conf, l_discount * 10 as p from lineitem)"
 
 
 def candidates(s, d):
     from pyspark.sql import Window as W
 
-    return table(s, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("class"), (F.col("l_partkey") % 3).alias("grp"), (F.col("l_orderkey") % 3).alias("wanted"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("rank"), (F.col("l_quantity") / 50).alias("conf"), (F.col("l_discount") * 10).alias("p"))
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("class"), (F.col("l_partkey") % 3).alias("grp"), (F.col("l_orderkey") % 3).alias("wanted"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("rank"), (F.col("l_quantity") / 50).alias("conf"), (F.col("l_discount") * 10).alias("p"))
 
 
 query("s25_vote", f"with {_CA}, x as (select *, round(0.6 * conf + 0.4 * p, 6) as score from ca) select id, class, score from (select *, row_number() over (partition by id order by score desc, rank) as k from x) where k = 1")(lambda s, d: c.vote(candidates(s, d)))

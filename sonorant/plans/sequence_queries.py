@@ -80,11 +80,11 @@ _add("w20_perplexity", seq.unigram_perplexity, f"with {T}, x as (select seq, tok
 _add("w21_transition_matrix", seq.transition_matrix, f"with {T}, {B}, {M} select src, dst, n, round(q, 6) as p from m")
 _PP = "x as (select regexp_replace(ngram, ' [^ ]*$', '') as head, count(*) as c from g2 group by ngram), y as (select *, sum(c) over (partition by head) as k from x), v as (select count(distinct token) as v from t), pp as (select round(exp(-sum(c * ln(c / k + 1 / (v + 1))) / sum(c)), 6) as perplexity from y, v)"
 _add("w22_smoothed_perplexity", lambda t: seq.smoothed_perplexity(t, 2), f"with {T}, {grams(2)}, {_PP} select * from pp")
-_ARR = "a as (select user_id, string_agg(substr(event_type, 1, 1), '' order by ts, event_id) as x from (select * from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) where k <= 12) where user_id < 40 group by user_id)"
+_ARR = "a as (select user_id, string_agg(substr(event_type, 1, 1), '' order by ts, event_id) as x from events group by user_id)"
 
 
 def _arrays(spark, d):
-    t = events(spark, d).where("pos < 12 and seq < 40").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.substring(x["token"], 1, 1)).alias("a"))
+    t = events(spark, d).groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: F.substring(x["token"], 1, 1)).alias("a"))
     other = t.select((F.col("seq") - 1).alias("seq"), F.col("a").alias("b"))
     return t.join(other, "seq")
 

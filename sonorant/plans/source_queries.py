@@ -11,8 +11,8 @@ from .library import CONTEXTS, PHRASES, phrases
 
 P = f"with {PHRASES} "
 #: A nested document per brand, built from part, written nowhere: the same explode as of a file.
-query("io01_nested_scan", f"with {PHRASES}, {CONTEXTS}, t as (select key, sum(i) as t from contexts group by key) select c.key, c.name as context, round(100 * i / t, 6) as percentage from contexts c join t on c.key = t.key where c.key < 200")(
-    lambda s, d: phrases(s, d).where("key < 200").select("key", F.explode("contexts").alias("c")).select("key", F.col("c.name").alias("context"), F.round(100 * F.col("c.n") / F.sum("c.n").over(W.partitionBy("key")), 6).alias("percentage"))
+query("io01_nested_scan", f"with {PHRASES}, {CONTEXTS}, t as (select key, sum(i) as t from contexts group by key) select c.key, c.name as context, round(100 * i / t, 6) as percentage from contexts c join t on c.key = t.key")(
+    lambda s, d: phrases(s, d).select("key", F.explode("contexts").alias("c")).select("key", F.col("c.name").alias("context"), F.round(100 * F.col("c.n") / F.sum("c.n").over(W.partitionBy("key")), 6).alias("percentage"))
 )
 query("io02_database_json", P + "select species, '{\"rules\":' || n || '}' as json from (select species, count(*) as n from phrases group by 1)")(lambda s, d: phrases(s, d).groupBy("species").agg(F.count("*").alias("rules")).select("species", F.to_json(F.struct("rules")).alias("json")))
 query("io03_props_scan", "select event_id, json_extract(props, '$.k')::int as k from events")(lambda s, d: table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")))
@@ -29,8 +29,8 @@ for _name, _hz, _ms in (("io12_binned_library", 100, 5), ("io13_sweep_library",
     )
 query("io14_capped_per_label", "select p_partkey, p_type from (select *, row_number() over (partition by p_type order by md5(p_partkey::varchar), p_partkey) as k from part) where k <= 20")(lambda s, d: r.capped_per_label(table(s, d, "part"), "p_type", "p_partkey", 20).select("p_partkey", "p_type"))
 query("io15_last_per_key", "select o_custkey, arg_max(o_orderstatus, o_orderkey) as o_orderstatus from orders group by 1")(lambda s, d: r.last_per_key(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey").select("o_custkey", "o_orderstatus"))
-query("io16_parse_annotations", "select o_orderkey * 1000.0 as start_ms, (o_orderkey + 0.5) * 1000.0 as end_ms, o_orderstatus as label, o_orderpriority as context, 1.0 as confidence from orders where o_orderkey < 300")(
-    lambda s, d: r.parse_annotations(table(s, d, "orders").where("o_orderkey < 300").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("\t"), (F.col("o_orderkey") + 0.5).cast("string"), F.lit("\t"), "o_orderstatus", F.lit("|"), "o_orderpriority").alias("value")), "audacity")
+query("io16_parse_annotations", "select o_orderkey * 1000.0 as start_ms, (o_orderkey + 0.5) * 1000.0 as end_ms, o_orderstatus as label, o_orderpriority as context, 1.0 as confidence from orders")(
+    lambda s, d: r.parse_annotations(table(s, d, "orders").select(F.concat(F.col("o_orderkey").cast("string"), F.lit("\t"), (F.col("o_orderkey") + 0.5).cast("string"), F.lit("\t"), "o_orderstatus", F.lit("|"), "o_orderpriority").alias("value")), "audacity")
 )
 query("io17_numbered", "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as global_id from orders")(lambda s, d: r.numbered(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "global_id"))
 query("io18_cluster_exemplars", "select vec_id as id, embedding[1]::double as mean_f0_hz, embedding[2]::double as duration_ms, 0.0 as f0_range_hz, 10.0 as hnr from embeddings")(lambda s, d: r.cluster_exemplars(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 2).cast("array<double>").alias("v"))))

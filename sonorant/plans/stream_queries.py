@@ -46,7 +46,7 @@ query("st16_responses", f"with {_IV}, s as (select user_id, start as s_time, lea
 query("st17_downsample", "select epoch(time_bucket(interval '10 minutes', ts))::bigint as start, count(*) as n, round(avg(value), 6) as mean, min(value) as min, max(value) as max from events group by 1")(lambda s, d: st.downsample(rows(s, d), "ts", "value", "10 minutes").withColumn("start", F.unix_seconds("start")))
 query("st18_retained", "select event_id from events where ts >= timestamp '2024-01-08' - interval 3 days")(lambda s, d: st.retained(rows(s, d), "ts", F.lit("2024-01-08 00:00:00").cast("timestamp"), 3).select("event_id"))
 query("st20_soak", "with g as (select user_id, round(100 * (arg_max(value, event_id) - arg_min(value, event_id)) / arg_min(value, event_id), 6) as growth from events group by 1) select *, case when growth > 100 then 'confirmed' when growth > 50 then 'potential' else 'ok' end as verdict from g")(lambda s, d: st.soak(rows(s, d), "user_id", "event_id", "value", 50))
-query("st21_relationships", "select least(l_suppkey, l_partkey % 100) as a, greatest(l_suppkey, l_partkey % 100) as b, round(least(1, 0.1 * count(*)), 6) as strength from lineitem where l_orderkey % 9 = 0 group by 1, 2")(lambda s, d: st.relationships(table(s, d, "lineitem").where("l_orderkey % 9 = 0").selectExpr("l_suppkey as a", "l_partkey % 100 as b")))
+query("st21_relationships", "select least(l_suppkey, l_partkey % 100) as a, greatest(l_suppkey, l_partkey % 100) as b, round(least(1, 0.1 * count(*)), 6) as strength from lineitem group by 1, 2")(lambda s, d: st.relationships(table(s, d, "lineitem").selectExpr("l_suppkey as a", "l_partkey % 100 as b")))
 _NC = "h as (select token as src, lead(token) over (partition by seq order by pos) as dst, (seq % 10) / 10 as f from t), c as (select src, dst, count(*) as n, avg(f) as f from h where dst is not null group by all), k as (select count(distinct dst) as k from c), p as (select *, (n + 1) / (sum(n) over (partition by src) + k) as p, sum(n) over (partition by src) as t from c, k)"
 query("st22_next_context", f"with {T}, {_NC} select src, dst, round(case when t >= 5 then 0.7 * p + 0.3 * f else p end, 6) as p from p")(lambda s, d: st.next_context(events(s, d).withColumn("dst", F.lead("token").over(W.partitionBy("seq").orderBy("pos"))).where("dst is not null").select(F.col("token").alias("src"), "dst", (F.col("seq") % 10 / 10).alias("feature_p"))))
 query("st23_sync_batch", "select event_id as id, case when sum(length(props)) over (order by user_id desc, event_id rows unbounded preceding) <= 9000 then 'sent' else 'left' end as state from events")(lambda s, d: (lambda q: q[0].select("id", F.lit("sent").alias("state")).union(q[1].select("id", F.lit("left").alias("state"))))(st.sync_batch(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("priority"), F.col("event_id").alias("time"), F.length("props").alias("bytes")), 9000)))
@@ -61,12 +61,12 @@ def waves(s, d):
     t = F.sequence(F.lit(0), F.lit(1599))
     f = 200 + F.col("s_suppkey") * 5
     x = F.transform(t, lambda i: F.when((i % 800) < 500, F.sin(2 * math.pi * f * i / 16000 + F.when(F.col("s_suppkey") % 3 == 0, i * i * 2e-5).otherwise(0.0))).otherwise(0.0))
-    return table(s, d, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").alias("id"), F.lit(16000.0).alias("rate"), x.alias("x"))
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(16000.0).alias("rate"), x.alias("x"))
 
 
 query("u01_validate", "select event_id, value > 0 and sqrt(value) < 6 as valid from events")(lambda s, d: u.validate(table(s, d, "events"), "value", lambda x: math.sqrt(x) < 6).select("event_id", "valid"))
 query("u02_segment")(lambda s, d: u.phrases(waves(s, d), 5, 5))
-query("u03_parse_idioms")(lambda s, d: u.parse_idioms(events(s, d).where("seq < 30"), {"click": ["click", "view"]}, ["view"], ["error"]))
+query("u03_parse_idioms")(lambda s, d: u.parse_idioms(events(s, d), {"click": ["click", "view"]}, ["view"], ["error"]))
 query("u04_parse_tokens", f"with {T} select seq, pos, token, case token when 'click' then 'touch' when 'view' then 'look' end as meaning, case when token in ('click', 'view') then 1.0 else 0.5 end as confidence from t")(lambda s, d: u.parsed_tokens(events(s, d).drop("ctx"), {"click": "touch", "view": "look"}))
 for _n, _b in (("u05_features_112", 112), ("u06_micro_dynamics", 112), ("u07_features_45", 45)):
     query(_n)(lambda s, d, b=_b: u.extract(waves(s, d), b).select("id", F.size("features").alias("n"), r6(F.get("features", F.lit(0))).alias("level")))
@@ -79,7 +79,7 @@ query("u13_turing_ratio", "with x as (select avg(value) filter (event_type = 'cl
 query("u14_dispute", "with x as (select user_id, event_id, least(value / 100, 1) as v, least(value / 100, 1) - lag(least(value / 100, 1)) over (partition by user_id order by event_id) as d from events) select user_id, count(*) filter (v < 0.33) as calm, count(*) filter (v >= 0.33 and v < 0.66) as tense, count(*) filter (v >= 0.66) as escalated, min(event_id) filter (d > 0.2 and v >= 0.66) as tipping_point from x group by 1")(lambda s, d: u.dispute_phases(table(s, d, "events").select("user_id", "event_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("v")), "user_id", "event_id", "v"))
 query("w48_align_multiple")(lambda s, d: _align(s, d))
 query("w57_grammar_from_sentences", f"with {_VEC}, {_CEN}, {NEAR}, p as (select id // 10 as g, c_id as src, lead(c_id) over (partition by id // 10 order by id) as dst from nc) select src, dst, count(*) as n from p where dst is not null group by all")(lambda s, d: _grammar(s, d))
-query("w60_transition_shape", f"with {_VEC} select b.id, {_L2} as magnitude, round({_L2} / 10, 6) as velocity from ve a join ve b on b.id = a.id + 1 and a.id // 10 = b.id // 10")(lambda s, d: _shape(s, d))
+query("w60_transition_shape", f"with {_VEC}, st as (select k, avg(v[k]) as m, stddev_pop(v[k]) as s from (select v, unnest(range(1, 65)) as k from ve) group by k), z as (select id, k, (v[k] - m) / s as x from (select id, v, unnest(range(1, 65)) as k from ve) join st using (k)), p as (select b.id, b.k, a.x as s, b.x as e from z a join z b on b.id = a.id + 1 and b.k = a.k and a.id // 10 = b.id // 10), m as (select id, sqrt(sum((e - s) * (e - s))) as magnitude, sqrt(sum(((s + e) / 2 - (e - s) / 2) * ((s + e) / 2 - (e - s) / 2))) as curvature from p group by id) select p.id, p.k::bigint as k, round(case when magnitude > 1e-10 then (e - s) / magnitude else 0 end, 6) as direction, round(magnitude, 6) as magnitude, round(magnitude / 10, 6) as velocity, round(curvature, 6) as curvature from p join m on p.id = m.id")(lambda s, d: _shape(s, d))
 
 
 def _align(s, d):
@@ -88,7 +88,7 @@ def _align(s, d):
 
     from ..functions import kernels
 
-    t = events(s, d).where("seq < 24 and pos < 8").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("v")).withColumn("g", F.floor(F.col("seq") / 4).cast("long"))
+    t = events(s, d).groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("v")).withColumn("g", F.floor(F.col("seq") / 4).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -111,6 +111,5 @@ def _grammar(s, d):
 
 def _shape(s, d):
     w = W.partitionBy(F.floor(F.col("id") / 10)).orderBy("id")
-    x = vectors(s, d).withColumn("before", F.lag("v").over(w)).where("before is not null")
-    m = r6(v.euclidean(F.col("before"), F.col("v")))
-    return x.select("id", m.alias("magnitude"), r6(m / 10).alias("velocity"))
+    x = v.scaled(vectors(s, d), "v").withColumn("before", F.lag("v").over(w)).where("before is not null")
+    return v.transition_shape(x, "before", "v", F.lit(10.0)).select("id", F.posexplode("direction").alias("k", "direction"), "magnitude", "velocity", "curvature").select("id", (F.col("k") + 1).cast("long").alias("k"), *[r6(c).alias(c) for c in ("direction", "magnitude", "velocity", "curvature")])

@@ -20,9 +20,9 @@ def connect(sf_dir: str = DATA):
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5) + 0.0
+        return None if math.isnan(value) else round(value, 9) + 0.0
     if hasattr(value, "as_tuple"):
-        return round(float(value), 5)
+        return round(float(value), 9)
     if isinstance(value, bool) or value is None:
         return value
     if isinstance(value, (list, tuple)):
@@ -49,6 +49,6 @@ def difference(spark, con, name, function, sql, sf_dir: str = DATA) -> str:
     if len(mine) != len(theirs):
         return f"{len(mine)} rows against {len(theirs)}; first here {mine[:2]}, there {theirs[:2]}"
     for a, b in zip(mine, theirs, strict=True):
-        if a != b and not all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-7, abs_tol=2e-5)) for x, y in zip(a, b, strict=True)):
+        if a != b and not all(x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)) for x, y in zip(a, b, strict=True)):
             return f"{order}: {a} against {b}"
     return ""
