@@ -354,25 +354,93 @@ def test_class_lm(docs, empty):
     assert all(r.score < 0 for r in got) and class_lm.score(empty).count() == 0
 
 
+def test_class_lm_score_is_that_of_brute_force(docs):
+    """Classes of rare words, transitions, emissions and every text's score, one token at a time."""
+    held = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, *_ in ROWS]
+    trained = class_lm.Trained(class_lm._split(docs, class_lm.SPLIT).where("not held_out").select("text"), 4, 3, 4)
+    types, of = trained.types, trained.of
+    seqs = []
+    for t in texts():
+        w = wordvec.Words(*wordvec.utf8(pa.array([t])), lower=True)
+        seqs.append((w.hash.view(np.int64).tolist(), types.sequence(w, w.hash)[0].tolist()))
+    end, k = types.end, int(of.max()) + 1
+    bigrams, context, count, first_type = Counter(), defaultdict(Counter), Counter(), {}
+    for (words, kinds), out in zip(seqs, held, strict=True):
+        if not out:
+            for w, a, b in zip([*words, None], [end, *kinds[:-1]], kinds, strict=True):
+                bigrams[a, b] += 1
+                count[w] += 1
+                context[w][int(of[a])] += 1
+                first_type[w] = b
+    assert trained.n == sum(count.values()) and trained.v == len(count)
+    joint = np.zeros((k, k))
+    for (a, b), n in bigrams.items():
+        joint[of[a], of[b]] += n
+
+    def smooth(joint):
+        uni = [(joint[:, c].sum() + 1) / (joint.sum() + k) for c in range(k)]
+        rows = []
+        for h in range(k):
+            total, seen = joint[h].sum(), (joint[h] > 0).sum()
+            rows.append([(max(joint[h, c] - 0.5, 0) + 0.5 * seen * uni[c]) / total if total else uni[c] for c in range(k)])
+        return rows, uni
+
+    trans, uni = smooth(joint)
+    cls = {}
+    for w, t in first_type.items():
+        if w is None or t < len(types.words):
+            cls[w] = int(of[t])
+        else:
+            value = [math.log(uni[c]) + sum(n * (math.log(trans[h][c]) - math.log(uni[c])) for h, n in context[w].items()) for c in range(k - 1)]
+            cls[w] = int(np.argmax(np.round(value, 6)))
+    assert {r.word: (r.cls, r.c) for r in trained.rare.collect()} == {w: (cls[w], count[w]) for w, t in first_type.items() if w is not None and t >= len(types.words)}
+    final = np.zeros((k, k))
+    for w, hs in context.items():
+        for h, n in hs.items():
+            final[h, cls[w]] += n
+    trans, _ = smooth(final)
+    divisor = [sum(count[w] for w in cls if cls[w] == c) + sum(1 for w in cls if cls[w] == c) + 1 for c in range(k)]
+    want = []
+    for (words, kinds), (i, *_) in zip(seqs, ROWS, strict=True):
+        x = 0.0
+        for w, a, b in zip([*words, None], [end, *kinds[:-1]], kinds, strict=True):
+            c = cls.get(w, int(of[b]))
+            x += math.log10(trans[of[a]][c] * (count[w] + 1) / divisor[c])
+        want.append((str(i), x))
+    for head in (500_000, 30, 0):
+        got = sorted((str(r.doc_id), r.score) for r in class_lm.score(docs, words=4, endings=3, classes=4, head=head).collect())
+        assert all(a == b and math.isclose(x, y, rel_tol=1e-9) for (a, x), (b, y) in zip(got, sorted(want), strict=True))
+    again = class_lm.score(docs.repartition(5), words=4, endings=3, classes=4, head=30).collect()
+    once = class_lm.score(docs, words=4, endings=3, classes=4, head=30).collect()
+    assert sorted(map(str, again)) == sorted(map(str, once))
+
+
 def test_class_model_is_a_distribution():
     counts = RNG.integers(0, 9, (12, 12))
     of = class_lm.exchange(counts, 4)
-    m = class_lm.Model(counts, of, np.zeros(12), np.zeros(12))
-    assert np.allclose((10**m.log_type).sum(axis=1), 1) and of[11] == 3 and (of[:11] < 3).all()
+    joint = class_lm.class_bigrams(counts, of)
+    transition, unigram = class_lm.smoothed(joint)
+    assert np.allclose(transition.sum(axis=1), 1) and np.allclose(unigram.sum(), 1) and of[11] == 3 and (of[:11] < 3).all()
 
 
 def test_exchange_never_loses_likelihood():
-    counts = RNG.integers(0, 9, (14, 14)).astype(float)
+    f = class_lm._xlogx
 
-    def like(of):
-        k = of.max() + 1
-        j = np.zeros((k, k))
+    def like(of, counts):
+        j = np.zeros((of.max() + 1, of.max() + 1))
         np.add.at(j, (of[:, None], of[None]), counts)
-        f = class_lm._xlogx
         return f(j).sum() - f(j.sum(1)).sum() - f(j.sum(0)).sum()
 
-    values = [like(class_lm.exchange(counts, 4, s)) for s in range(5)]
-    assert all(b >= a - 1e-6 for a, b in zip(values[:-1], values[1:], strict=True))
+    for seed in range(25):
+        counts = np.random.default_rng(seed).integers(0, 9, (14, 14)).astype(float)
+        values = [like(class_lm.exchange(counts, 4, s), counts) for s in range(6)]
+        assert all(b >= a - 1e-5 for a, b in zip(values[:-1], values[1:], strict=True))
+        of = class_lm.exchange(counts, 4, 50)  # settled: no single move raises the likelihood
+        for t in range(13):
+            for c in range(3):
+                moved = of.copy()
+                moved[t] = c
+                assert like(moved, counts) <= like(of, counts) + 1e-5
 
 
 def naive_segments(w):
