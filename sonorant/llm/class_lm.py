@@ -40,6 +40,8 @@ from .wordvec import Words, mix64, utf8
 #: Types of single words, types of word endings, classes, entries of the broadcast table.
 WORDS, ENDINGS, CLASSES, HEAD = 2048, 127, 64, 500_000
 SWEEPS = 6
+#: Keys that a task counts before it hands them on.
+MOST_KEPT = 500_000
 #: Modulus and remainder of the crc32 of the ids that are held out.
 SPLIT = (7, 2)
 
@@ -80,9 +82,9 @@ def _counted(rows: DataFrame, keys: list[str], make) -> DataFrame:
         def each(b: pa.RecordBatch):
             k = np.stack(key_of(Words(*utf8(b.column(0)), lower=True)), axis=1)
             kept.append(fold([(k, np.ones(len(k), dtype=np.int64))]))
-            if sum(len(x[0]) for x in kept) > 1_500_000:
+            if sum(len(x[0]) for x in kept) > MOST_KEPT:
                 k, c = fold(kept)
-                kept[:] = [(k, c)] if len(k) < 750_000 else []
+                kept[:] = [(k, c)] if 2 * len(k) < MOST_KEPT else []
                 if not kept:
                     return out(k, c)
             return None
