@@ -244,6 +244,20 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_passages(spark):
+    """A long passage goes from three texts on, but for its first place; short lines and passages in two texts stay."""
+    rng = np.random.default_rng(3)
+    said = lambda n: " ".join(f"w{chr(97 + x)}{chr(97 + y)}{chr(97 + z)}" for x, y, z in rng.integers(0, 26, (n, 3)))
+    thrice, twice, short = said(55), said(60), said(6)
+    rows = [(i, "\n".join([said(30), thrice if i < 3 else twice if i < 5 else said(25), short if i < 6 else said(8), said(40)])) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for broadcast in (line_dedup.BROADCAST, 0):
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, broadcast=broadcast).collect()}
+        assert all((got[i] == t) == (i not in (1, 2)) for i, t in rows) and all(got[i] == rows[i][1].replace(thrice + "\n", "") for i in (1, 2))
+    none = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, keep_first=False).collect()}
+    assert all(none[i] == t.replace(thrice + "\n", "") for i, t in rows)
+
+
 def test_line_dedup_equals_sql(spark):
     import oracle
 
