@@ -36,6 +36,8 @@ MOST = 3
 BLOCK = 4096
 #: Documents of a source that the landing decides on together, beside those that a flight leaves.
 LANDING = 12
+#: Sources (a row each) that are broadcast at most, so that a frequent source is no single task of a join.
+BROADCAST = 100_000
 #: Part of its source's target from which a document is drawn before the flight.
 LARGE = 0.02
 
@@ -147,7 +149,7 @@ def _open(p: str = "p") -> Column:
     return (F.col(p) > 0) & (F.col(p) < 1)
 
 
-def draw_large(marked: DataFrame, more: list[str], most: int = MOST, large: float = LARGE) -> DataFrame:
+def draw_large(marked: DataFrame, more: list[str], most: int = MOST, large: float = LARGE, hint=F.broadcast) -> DataFrame:
     """marked with the large documents of each source decided and the others' p scaled to the tokens that are left."""
     is_large = _open() & (F.col("size") > F.lit(large) * F.col("target"))
     draw = F.shiftrightunsigned(F.xxhash64("h", F.lit("large")), 11).cast("double") / float(1 << 53)
@@ -155,7 +157,7 @@ def draw_large(marked: DataFrame, more: list[str], most: int = MOST, large: floa
     marked = marked.withColumns({"large": is_large, "draw": draw})
     # Winners in the order of their draws, as long as they don't exceed what the source is due.
     total = marked.where(_open()).groupBy(F.col("source").alias("of")).agg(F.sum(due).alias("most"), F.max("large").alias("some")).where("some")
-    drawn = marked.where("large").join(total, F.col("source").eqNullSafe(F.col("of"))).drop("of", "some")
+    drawn = marked.where("large").join(hint(total), F.col("source").eqNullSafe(F.col("of"))).drop("of", "some")
     w = W.partitionBy("source").orderBy("draw", "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, 0)
     wins = F.when(F.col("draw") < F.col("p"), F.col("size")).otherwise(0)
     drawn = drawn.withColumn("won", ((F.col("draw") < F.col("p")) & (F.sum(wins).over(w) <= 1.001 * F.col("most"))).cast("double")).drop("most")
@@ -163,7 +165,7 @@ def draw_large(marked: DataFrame, more: list[str], most: int = MOST, large: floa
     of = marked.where(_open()).groupBy(F.col("source").alias("of")).agg(
         F.sum(due).alias("due"), F.sum(F.col("won") * F.col("size")).alias("won_size"), F.sum(F.when(~F.col("large"), due)).alias("rest"), F.max("large").alias("some")
     ).where("some").select("of", F.least(F.greatest(F.coalesce(F.try_divide(F.round(F.col("due") - F.col("won_size"), 3), F.round("rest", 3)), F.lit(1.0)), F.lit(0.0)), F.lit(1e6)).alias("scale"))
-    joined = marked.join(of, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    joined = marked.join(hint(of), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     p = F.when(F.col("large"), F.col("won")).when(_open() & F.col("scale").isNotNull(), F.least(F.col("p") * F.col("scale"), F.lit(most) - F.col("whole"))).otherwise(F.col("p"))
     joined = joined.withColumn("p", p).withColumn("over", F.floor("p").cast("long"))  # others may have to be taken once more
     return joined.withColumns({"p": F.col("p") - F.col("over"), "whole": F.col("whole") + F.col("over")}).drop("large", "won", "scale", "over")
@@ -192,21 +194,23 @@ def copies(rows: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
     more = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
     rows = materialize(rows, "sizes")
     by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most).select("source", "source_size", "target")
+    by_source = materialize(by_source, "targets")
+    hint = F.broadcast if by_source.count() <= BROADCAST else lambda df: df
     rate = F.try_divide(F.col("target"), F.col("source_size"))
     marked = (
-        rows.join(by_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        rows.join(hint(by_source.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("rate", F.coalesce(rate, F.lit(0.0)))
         .withColumn("whole", F.least(F.floor("rate"), F.lit(most)).cast("long"))
         .withColumn("p", F.when((F.col("size") > 0) & (F.col("whole") < most), F.col("rate") - F.col("whole")).otherwise(0.0))
         .withColumn("h", F.xxhash64("doc_id", "size"))
         .select("doc_id", "source", "size", *more, "source_size", "target", "whole", "p", "h")
     )
-    marked = draw_large(marked, more, most)
+    marked = draw_large(marked, more, most, hint=hint)
     is_open = "p > 0 and p < 1"
     parts, flying, level = [marked.where(f"not ({is_open})")], numbered_repeats(marked.where(is_open), block), 0
     while True:
         per = flying.groupBy(F.col("source").alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
-        dealt = flying.join(per, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        dealt = flying.join(hint(per), F.col("source").eqNullSafe(F.col("of"))).drop("of")
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", "nth", F.lit(level)), F.col("blocks")).cast("int"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
         flown = materialize(dealt.groupBy("source", "block").applyInPandas(_flight, schema).drop("block", "blocks"), "flown")
