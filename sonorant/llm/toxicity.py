@@ -287,8 +287,10 @@ class Model:
         if not len(self.words) or not len(w):
             return out
         hit, weight = self.scored(w, weights)
+        if not len(hit):
+            return out
         of, place, weight = w.doc[hit], hit - w.first[w.doc[hit]], weight + self.drift
-        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, int)
+        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         for s, e in zip(cuts, [*cuts[1:], len(of)], strict=True):
             if weight[s:e].max() > 0:
                 out[of[s]] = maximal_segments(place[s:e].tolist(), weight[s:e].tolist(), self.drift)
