@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .shared import materialize, scan, ship
+from .shared import held, materialize, scan, ship
 
 SPACE = "▁"
 #: Words that the relational lattice encodes for the broadcast table; words that a task remembers beside it.
@@ -324,10 +324,6 @@ def encoder(docs: DataFrame, pieces: Pieces, head: int = HEAD):
     return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((pieces, got))
 
 
-#: Per worker process, what the last encoder it worked for needs; tasks of one job share it.
-_WORKER: dict[str, Encoder] = {}
-
-
 class Encoder(dict):
     """Inside a task: word -> its ids as int32 bytes. A word that isn't known yet is encoded, checked and remembered.
 
@@ -371,11 +367,8 @@ class Encoder(dict):
 
 
 def task_encoder(token: str, shared) -> Encoder:
-    """The worker's encoder."""
-    if token not in _WORKER:
-        _WORKER.clear()
-        _WORKER[token] = Encoder(*shared.value)
-    return _WORKER[token]
+    """The worker's encoder; tasks of one job share it."""
+    return held(token, lambda: Encoder(*shared.value))
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, head: int = HEAD) -> DataFrame:
@@ -428,7 +421,7 @@ def round_trip(docs: DataFrame, model: str | None = None, head: int = HEAD) -> D
 
         return each, None
 
-    return scan(rows, "text", "doc_id long, n_ids long, ids array<int>, exact boolean", make)
+    return scan(rows, "text", "doc_id long, n_ids long, ids array<int>, exact boolean", make, holds=True)
 
 
 __all__ = ["Pieces", "encode_words", "encode_documents", "decode_documents", "round_trip", "frequent_words", "default_model"]

@@ -162,8 +162,9 @@ def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     at = docs.columns.index("text")
 
     def run(batches):
-        from .shared import slices
+        from .shared import let_go, slices
 
+        let_go()
         for batch in batches:
             for b in slices(batch, at):
                 yield b.filter(pa.array(measure(*utf8(b.column(at)), ratios.value, threshold)[-1]))

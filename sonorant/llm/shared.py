@@ -17,10 +17,17 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one Arrow slice holds at most (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Rows that Spark sends a Python worker at once, unless the session asks for fewer: a batch is held whole on both sides.
+BATCH_ROWS = 1000
+#: Per worker process, what the tasks of the last job that holds something share.
+_HELD: dict[str, object] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the cluster shares the folder it lies in."""
+    """Let Python workers import this package where the cluster shares the folder it lies in, and get batches of BATCH_ROWS."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
@@ -48,6 +55,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(token: str, make: Callable[[], object]) -> object:
+    """make() once per worker process and token; what another token held is let go."""
+    if token not in _HELD:
+        let_go()
+        _HELD[token] = make()
+    return _HELD[token]
+
+
+def let_go() -> None:
+    """Workers outlive their jobs: free what an earlier job held."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice's texts (column number ``text``) take at most ``most`` bytes, or one row."""
     n = batch.num_rows
@@ -63,13 +84,18 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         at = stop
 
 
-def scan(df: DataFrame, text: str, schema: str, make: Callable[[], tuple[Callable, Callable | None]]) -> DataFrame:
-    """mapInArrow over bounded slices. make() gives (each, last) per task: each(slice) and last() return lists of arrays."""
+def scan(df: DataFrame, text: str, schema: str, make: Callable[[], tuple[Callable, Callable | None]], holds: bool = False) -> DataFrame:
+    """mapInArrow over bounded slices. make() gives (each, last) per task: each(slice) and last() return lists of arrays.
+
+    holds: make() uses ``held``; other scans begin by freeing what an earlier job held.
+    """
     ship(df.sparkSession)
     at = df.columns.index(text)
     names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
         each, last = make()
         for batch in batches:
             for piece in slices(batch, at):
