@@ -33,6 +33,8 @@ STEADY = 0.5
 LONG_TOKENS, LONG_DOCS, LONG_STEADY = 20, 3, 0.8
 #: Leaves that are broadcast at most.
 BROADCAST = 1_000_000
+#: A recurring template's row (its hash and its first line's place) is so many times a leaf's.
+WIDER = 4
 
 #: A token with a digit, after the start of the line or a blank.
 _VARIABLE = "(^| )[^ ]*[0-9][^ ]*"
@@ -78,11 +80,13 @@ def recurring_lines(
     least = F.when(F.col("size") >= long_tokens, F.lit(long_steady)).otherwise(F.lit(steady)) * F.col("size")
     templates = templates.where(F.col("fixed") >= least).select("leaf", "form", F.concat_ws(" ", F.col("tokens.token")).alias("template"))
     marked = lines.withColumn("form", F.xxhash64("leaf", "masked")).drop("masked").join(templates, ["leaf", "form"])
-    marked = materialize(marked.select("doc_id", "tkey", "place", "leaf", "size", "template"), "templates")
-    reach = marked.select("leaf", "size", "template", "tkey").distinct().groupBy("leaf", "size", "template").count().where(F.col("count") >= need)
-    first = marked.groupBy("leaf", "template").agg(F.min(F.struct("doc_id", "tkey", "place")).alias("first"))
-    known = reach.join(first, ["leaf", "template"]).select("leaf", "template", "first")
-    out = marked.join(known, ["leaf", "template"])
+    marked = materialize(marked.select("doc_id", "tkey", "place", "size", "template", F.xxhash64("leaf", "template").alias("tid")), "templates")
+    reach = marked.select("tid", "size", "tkey").distinct().groupBy("tid", "size").count().where(F.col("count") >= need)
+    first = marked.groupBy("tid").agg(F.min(F.struct("doc_id", "tkey", "place")).alias("first"))
+    known = materialize(reach.join(first, "tid").select("tid", "first"), "known-templates")
+    if known.count() <= broadcast // WIDER:
+        known = F.broadcast(known)
+    out = marked.join(known, "tid")
     return out.select("doc_id", "tkey", "place", "template", F.struct("doc_id", "tkey", "place").eqNullSafe(F.col("first")).alias("first"))
 
 
