@@ -379,28 +379,36 @@ def hmm_decode(sequences: DataFrame, model: tuple) -> DataFrame:
     return sequences.withColumn("d", decode("v")).select("id", "d.states", r6("d.log_prob").alias("log_prob"))
 
 
-def metric_weights(rows: DataFrame, label: str, rounds: int = 5, rate: float = 0.1, margin: float = 1.0) -> tuple[np.ndarray, list[float]]:
-    """Weights of a weighted L1 metric from semi-hard triplets, each row as anchor with its neighbours by hash inside its task; (weights, losses)."""
+def metric_weights(rows: DataFrame, label: str, rounds: int = 5, rate: float = 0.1, margin: float = 1.0, batch: int = 1000) -> tuple[np.ndarray, list[float]]:
+    """M20 over rows(id, v, label): weights of a weighted L1 metric from semi-hard triplets; (weights, losses).
+
+    Each row is an anchor among the rows of its mini-batch. Mini-batches of about ``batch`` rows are dealt by a hash of the
+    row, so that the result doesn't depend on partitions; one that gets over four times as many rows (copies) is an error.
+    """
     dims = len(rows.first()["v"])
     w, losses = np.ones(dims), []
+    dealt = cut(rows.select("id", "v", label).withColumn("_b", F.pmod(F.xxhash64("id", "v"), F.lit(max(1, -(-rows.count() // batch))))))
     for r in range(rounds):
-        def step(batches, w=w):
-            for pdf in batches:
-                x, y = np.stack(pdf["v"].to_numpy()), pdf[label].to_numpy()
-                grad, loss, n = np.zeros(dims), 0.0, 0
-                for i in range(len(x)):
-                    same, other = np.flatnonzero((y == y[i]) & (np.arange(len(x)) != i)), np.flatnonzero(y != y[i])
-                    if not len(same) or not len(other):
-                        continue
-                    dp, dn = np.abs(x[same] - x[i]), np.abs(x[other] - x[i])
-                    p = dp[np.argmin(dp @ w)]
-                    hard = dn[(dn @ w > p @ w) & (dn @ w < p @ w + margin)]
-                    if len(hard):
-                        q = hard[np.argmin(hard @ w)]
-                        loss, n, grad = loss + margin + p @ w - q @ w, n + 1, grad + p - q
-                yield pd.DataFrame({"g": [grad.tolist()], "loss": [loss], "n": [n]})
-
-        got = rows.select("v", label).mapInPandas(step, "g array<double>, loss double, n long").toPandas()
+        def step(pdf, *, w=w):
+            if len(pdf) > 4 * batch:
+                raise ValueError(f"{len(pdf)} rows in a mini-batch of {batch}")
+            pdf = pdf.sort_values("id")
+            x, y = np.stack(pdf["v"].to_numpy()), pdf[label].to_numpy()
+            grad, loss, n = np.zeros(dims), 0.0, 0
+            for i in range(len(x)):
+                same, other = np.flatnonzero((y == y[i]) & (np.arange(len(x)) != i)), np.flatnonzero(y != y[i])
+                if not len(same) or not len(other):
+                    continue
+                dp, dn = np.abs(x[same] - x[i]), np.abs(x[other] - x[i])
+                p = dp[np.argmin(dp @ w)]
+                far = dn @ w
+                hard = dn[(far > p @ w) & (far < p @ w + margin)]
+                if len(hard):
+                    q = hard[np.argmin(hard @ w)]
+                    loss, n, grad = loss + margin + p @ w - q @ w, n + 1, grad + p - q
+            return pd.DataFrame({"b": [pdf["_b"].iloc[0]], "g": [grad.tolist()], "loss": [loss], "n": [n]})
+
+        got = dealt.groupBy("_b").applyInPandas(step, "b long, g array<double>, loss double, n long").toPandas().sort_values("b")
         n = max(1, got.n.sum())
         losses.append(float(got.loss.sum() / n))
         if r and losses[-1] >= losses[-2] - 1e-9:

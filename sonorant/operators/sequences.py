@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, numbered
 
 
 def in_order():
@@ -78,7 +78,8 @@ def analyze_pattern(t: DataFrame, pattern: str) -> DataFrame:
     n = len(pattern.split(" "))
     found = ngrams(t, [n]).where(F.col("ngram") == pattern)
     by = found.groupBy("ctx").agg(F.count("*").alias("occurrences"), F.countDistinct("seq").alias("sequences"))
-    return by.withColumn("share", r6(F.col("occurrences") / F.sum("occurrences").over(W.partitionBy())))
+    total = by.agg(F.sum("occurrences").alias("_total"))
+    return by.crossJoin(F.broadcast(total)).withColumn("share", r6(F.col("occurrences") / F.col("_total"))).drop("_total")
 
 
 def query_ngrams(t: DataFrame, sizes, least: int = 1, most: int | None = None, ctx: object | None = None, limit: int = 100) -> DataFrame:
@@ -114,9 +115,9 @@ def summary(t: DataFrame, sizes) -> DataFrame:
 def pmi(t: DataFrame) -> DataFrame:
     """(src, dst, n, pmi) in nats over neighbouring pairs; unigram and bigram totals each for itself. Unseen: no row."""
     uni = t.groupBy("token").agg(F.count("*").alias("c"))
-    uni = uni.withColumn("p", F.col("c") / F.sum("c").over(W.partitionBy()))
+    uni = uni.crossJoin(F.broadcast(uni.agg(F.sum("c").alias("total")))).withColumn("p", F.col("c") / F.col("total"))
     bi = bigrams(t).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    bi = bi.withColumn("pb", F.col("n") / F.sum("n").over(W.partitionBy()))
+    bi = bi.crossJoin(F.broadcast(bi.agg(F.sum("n").alias("total")))).withColumn("pb", F.col("n") / F.col("total"))
     a, b = uni.select(F.col("token").alias("src"), F.col("p").alias("pa")), uni.select(F.col("token").alias("dst"), F.col("p").alias("pd"))
     return bi.join(a, "src").join(b, "dst").select("src", "dst", "n", r6(F.log(F.col("pb") / (F.col("pa") * F.col("pd")))).alias("pmi"))
 
@@ -211,7 +212,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def zipf(counts: DataFrame) -> DataFrame:
     """A12, A13 over counts(token, c): slope and R2 of ln frequency on ln rank, and |Pearson|; under 3 types 0."""
-    ranked = counts.withColumn("x", F.log(F.row_number().over(W.orderBy(F.desc("c"), "token")))).withColumn("y", F.log("c"))
+    ranked = numbered(counts, [F.desc("c"), "token"], "rank").withColumn("x", F.log(F.col("rank") + 1)).withColumn("y", F.log("c"))
     few = F.count("*") < 3
     pick = lambda c: r6(F.when(few, 0.0).otherwise(F.coalesce(c, F.lit(0.0))))
     return ranked.agg(pick(F.regr_slope("y", "x")).alias("slope"), pick(F.regr_r2("y", "x")).alias("r2"), pick(F.abs(F.corr("x", "y"))).alias("correlation"))
@@ -229,9 +230,9 @@ def linguistic_structure(t: DataFrame, shuffled: DataFrame, zipf_least: float =
 
 def shuffled(t: DataFrame) -> DataFrame:
     """W26's baseline: the tokens of all sequences dealt over the same places in the order of a hash."""
-    places = t.select("seq", "pos", F.row_number().over(W.orderBy("seq", "pos")).alias("k"))
-    dealt = t.select("token", F.row_number().over(W.orderBy(F.md5(F.concat_ws("-", "seq", "pos")), "seq", "pos")).alias("k"))
-    return places.join(dealt, "k").select("seq", "pos", "token")
+    places = numbered(t.select("seq", "pos"), ["seq", "pos"], "k")
+    dealt = numbered(t.select("token", "seq", "pos", F.md5(F.concat_ws("-", "seq", "pos")).alias("draw")), ["draw", "seq", "pos"], "k")
+    return places.join(dealt.select("token", "k"), "k").select("seq", "pos", "token")
 
 
 def turn_taking(t: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ for _n, _k in (("m16_random_forest", "forest"), ("m17_decision_tree", "tree"), (
     query(_n)(lambda s, d, k=_k: m.classify(vectors(s, d), "label", k))
 query("m18_train_test", "select c_custkey as id, (('0x' || substr(md5('s' || c_custkey), 1, 8))::bigint) / 4294967296 < 0.3 as test from customer")(lambda s, d: m.train_test(table(s, d, "customer").selectExpr("c_custkey as id"), 0.3))
 query("m19_balanced", "with r as (select vec_id as id, label, row_number() over (partition by label order by md5(vec_id::varchar), vec_id) as k from embeddings), l as (select min(n) as n from (select count(*) as n from embeddings group by label)) select id, label from r, l where k <= n")(lambda s, d: m.balanced(vectors(s, d).select("id", "label"), "label"))
-query("m20_metric_weights")(lambda s, d: s.createDataFrame([(i, float(w)) for i, w in enumerate(m.metric_weights(vectors(s, d).repartition(2, "id").sortWithinPartitions("id"), "label", 3)[0])], "dim int, weight double"))
+query("m20_metric_weights")(lambda s, d: s.createDataFrame([(i, float(w)) for i, w in enumerate(m.metric_weights(vectors(s, d), "label", 3)[0])], "dim int, weight double"))
 query("m22_silhouettes")(lambda s, d: m.silhouettes(vectors(s, d), [1, 5, 10]))
 query("m23_exemplars", f"with {_VEC}, {_CEN}, {NEAR} select c_id, id, distance from (select *, row_number() over (partition by c_id order by distance, id) as k from nc) where k = 1")(lambda s, d: m.exemplars(assigned(s, d)))
 query("m24_medoids", f"with {_VEC}, {_CEN}, {NEAR}, r as (select *, (id % 13)::double as snr, row_number() over (partition by c_id order by distance, id) as k, count(*) over (partition by c_id) as n from nc), q as (select *, row_number() over (partition by c_id order by (k = 1 and snr >= 6) desc, snr desc, k) as o from r where k = 1 or k <= ceil(n * 0.25)) select c_id, id, snr from q where o = 1")(lambda s, d: m.medoids(assigned(s, d), vectors(s, d).selectExpr("id", "double(id % 13) as snr"), 6.0))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans import lineage
+
 FEATURES = "mean_f0_hz double, f0_range_hz double, duration_ms double, hnr double, spectral_flatness double, attack_time_ms double, jitter double, onset_rate_hz double"
 CONTEXT = "struct<context_name:string,count:int,percentage:double>"
 PHRASE = f"struct<signature:string,species:string,modality:string,acoustic_features:struct<{FEATURES.replace(' double', ':double')}>,total_occurrences:int,contexts:array<{CONTEXT}>,social_contexts:map<string,int>>"
@@ -145,13 +147,7 @@ def parse_annotations(lines: DataFrame, kind: str) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[str], name: str = "global_id") -> DataFrame:
     """IO17: a running number from 0 over all rows in an order, without one task for all: range partitions plus their offsets."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    from ..plans.lineage import cut
-
-    parts = cut(parts)
-    sizes = parts.groupBy("_p").count()
-    before = sizes.select("_p", (F.sum("count").over(W.orderBy("_p")) - F.col("count")).alias("_o"))
-    return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + F.col("_o")).drop("_p", "_i", "_o")
+    return lineage.numbered(rows, order, name)
 
 
 def cluster_exemplars(clusters: DataFrame) -> DataFrame:
@@ -170,6 +166,11 @@ def read_manifest(spark: SparkSession, path: str, width: int = 112) -> DataFrame
     return x.withColumn("file_path", F.when(bad, F.raise_error(F.lit("segment without file or vector"))).otherwise(F.col("file_path")))
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """IO1, IO5 to IO8, IO19: the form their readers take: each value of documents(json) is a file of its own."""
+    documents.select("json").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def log_decisions(rows: DataFrame, path: str) -> None:
     """IO20: append decisions, one folder per session."""
     rows.write.mode("append").partitionBy("session").parquet(path)
@@ -216,8 +217,27 @@ def pack_trace(session: int, kind: int, flags: int, time: float, value: float, n
     return body + struct.pack("<I", zlib.crc32(body)) + bytes(6)
 
 
+def pack_traces(rows: DataFrame, records: int = 4096) -> DataFrame:
+    """IO29 over rows(session, kind, flags, time, value, note): (path, content) of binary files of ``records`` records or fewer."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), records):
+                part = pdf.iloc[at : at + records]
+                first = part.iloc[0]
+                data = b"".join(pack_trace(r.session, r.kind, r.flags, r.time, r.value, r.note.encode()) for r in part.itertuples())
+                yield pd.DataFrame({"path": [f"{first.session}-{first.time}.trace"], "content": [data]})
+
+    return rows.select("session", "kind", "flags", "time", "value", "note").mapInPandas(run, "path string, content binary")
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """IO29: records of binary files; a length that isn't a multiple of 64 is an error, ok tells whether the checksum fits."""
+    """IO29: records of a folder's binary files."""
+    return unpack_traces(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unpack_traces(files: DataFrame) -> DataFrame:
+    """IO29 over files(path, content): their records; a length that isn't a multiple of 64 is an error, ok tells whether the checksum fits."""
 
     def run(batches):
         for pdf in batches:
@@ -231,7 +251,7 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
                     out.append((Path(name).name, i // 64, s, k, f, t, v, note.rstrip(b"\0").decode("utf-8", "replace"), struct.unpack("<I", r[54:58])[0] == zlib.crc32(r[:54])))
             yield pd.DataFrame(out, columns=["file", "record", "session", "kind", "flags", "time", "value", "note", "ok"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, record long, session long, kind long, flags long, time double, value double, note string, ok boolean")
+    return files.select("path", "content").mapInPandas(run, "file string, record long, session long, kind long, flags long, time double, value double, note string, ok boolean")
 
 
 def save_ngrams(counts: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sequences import r6
+from ..plans.lineage import running
 
 
 def replay(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -93,8 +94,7 @@ def paired_with_last(df: DataFrame, key: str, time: str, source: str, system: st
 
 def drop_late(df: DataFrame, time: str, max_age: float) -> DataFrame:
     """ST7: rows not older than the newest seen before them less ``max_age`` (batch, in arrival order ``arrival``)."""
-    seen = F.max(time).over(W.orderBy("arrival").rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("_m", seen).where(F.col(time) >= F.col("_m") - max_age).drop("_m")
+    return running(df, ["arrival"], time, "_m", F.max, F.greatest).where(F.col(time) >= F.col("_m") - max_age).drop("_m")
 
 
 def latest_positions(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -211,8 +211,7 @@ def next_context(history: DataFrame, least: int = 5, weight: float = 0.7) -> Dat
 
 def sync_batch(queue: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """ST23 over queue(id, priority, time, bytes): (sent, remaining), by priority then time while the byte budget lasts; nothing is lost (Q24)."""
-    run = F.sum("bytes").over(W.orderBy(F.desc("priority"), "time", "id").rowsBetween(W.unboundedPreceding, 0))
-    q = queue.withColumn("_run", run)
+    q = running(queue, [F.desc("priority"), "time", "id"], "bytes", "_run")
     return q.where(F.col("_run") <= budget).drop("_run"), q.where(F.col("_run") > budget).drop("_run")
 
 

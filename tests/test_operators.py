@@ -206,3 +206,29 @@ def test_discover_gates_and_measures(spark):
     p, length = np.array(sizes) / 25, np.repeat([100.0, 101.0, 102.0], sizes)
     assert got[0].perplexity == pytest.approx(2 ** -(p * np.log2(p)).sum(), abs=1e-5) and got[0].duration_cv == pytest.approx(length.std() / length.mean(), abs=1e-5)
     assert got[0].zipf_r2 == pytest.approx(np.corrcoef(np.log([1, 2, 3]), np.log(sizes))[0, 1] ** 2, abs=1e-5)
+
+
+def test_totals_over_a_whole_order_are_those_of_one_task(spark):
+    from sonorant.plans.lineage import numbered, running
+
+    rows = [(i, (i * 7919) % 97, None if i % 11 == 0 else (i * 31) % 13) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k int, x int").repartition(7)
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    want, most, total = {}, None, None
+    for i, (key, _, x) in enumerate(order):
+        if x is not None:
+            total, most = x + (total or 0), x if most is None else max(most, x)
+        want[key] = (i, total, most)
+    by = [F.desc("k"), "id"]
+    got = numbered(df, by, "i").join(running(df, by, "x", "s").select("id", "s"), "id").join(running(df, by, "x", "m", F.max, F.greatest).select("id", "m"), "id")
+    assert {r.id: (r.i, r.s, r.m) for r in got.collect()} == want
+    assert running(df.where("false"), by, "x", "s").count() == 0
+
+
+def test_metric_weights_do_not_depend_on_partitions(spark):
+    rows = [(i, [float(i % 3), float((i * 37) % 11), 1.0], i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    a, b = models.metric_weights(df.repartition(1), "label", 3, margin=5.0, batch=40), models.metric_weights(df.repartition(9), "label", 3, margin=5.0, batch=40)
+    assert a[0].tolist() == b[0].tolist() and a[1] == b[1] and a[0].tolist() != [1.0, 1.0, 1.0]
+    with pytest.raises(Exception, match="mini-batch"):
+        models.metric_weights(df.select(F.lit(1).cast("long").alias("id"), F.array(F.lit(1.0)).alias("v"), "label"), "label", 3, batch=10)

@@ -120,6 +120,13 @@ def test_parse_events_dead_letters(spark):
     assert [r.a for r in good.collect()] == [1] and [r.value for r in bad.collect()] == ["broken"]
 
 
+def test_traces_of_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.trace").write_bytes(b"".join(readers.pack_trace(i, k, 0, float(k), 0.5, b"n") for k in range(i)))
+    got = readers.read_traces(spark, str(tmp_path)).collect()
+    assert sorted((r.session, r.kind, r.record, r.ok) for r in got) == [(1, 0, 0, True), (2, 0, 0, True), (2, 1, 1, True)]
+
+
 def test_sync_loses_nothing(spark):
     q = spark.createDataFrame([(1, 9, 0, 50), (2, 5, 0, 80), (3, 1, 0, 10)], "id int, priority int, time int, bytes int")
     sent, left = st.sync_batch(q, 100)
