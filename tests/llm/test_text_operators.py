@@ -553,6 +553,70 @@ def test_quality_classifier(spark, empty, labels):
     assert quality_classifier.quality_scores(empty, labels).count() == 0
 
 
+def simulated_sites(spread, rng):
+    """Documents of dense and sparse sites: (doc_id, host, path, evidence, good), with sites' rates drawn around their hosts'."""
+    rows, rate = [], {}
+    for h in range(60):
+        of_host = rng.normal(0, spread)
+        for p in range(1 + h % 4):
+            rate[h, p] = 1 / (1 + np.exp(-(1 + of_host + rng.normal(0, spread / 2))))
+            for _ in range(3 if h % 2 else 120):
+                good = int(rng.random() < rate[h, p])
+                # Calibrated against the global rate of about 0.7: a likelihood of two normals two deviations of 1.5 apart.
+                x = rng.normal(good, 1.5)
+                odds = 0.85 + (2 * x - 1) / (2 * 1.5**2)
+                rows.append((len(rows), f"h{h}" if h else None, f"p{p}" if p else None, float(1 / (1 + np.exp(-odds))), good))
+    return rows, rate
+
+
+def test_site_posteriors_are_those_of_brute_force(spark):
+    rows, _ = simulated_sites(1.0, np.random.default_rng(3))
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, host string, path string, evidence double")
+    got = {r.doc_id: r for r in quality_classifier.with_sites(df, hot=0.01).collect()}
+    e, hosts, paths = np.array([r[3] for r in rows]), {}, {}
+    for i, r in enumerate(rows):
+        hosts.setdefault(r[1], []).append(i)
+        paths.setdefault(r[1:3], []).append(i)
+    n, mu = len(e), e.mean()
+    within = sum(((e[x] - e[x].mean()) ** 2).sum() for x in paths.values()) / (n - len(paths))
+    share = sum(len(x) ** 2 / len(hosts[k[0]]) for k, x in paths.items())
+    between = sum(len(x) * (e[x].mean() - e[hosts[k[0]]].mean()) ** 2 for k, x in paths.items())
+    path = max(0, between - (len(paths) - len(hosts)) * within) / (n - share)
+    top = sum(len(x) * (e[x].mean() - mu) ** 2 for x in hosts.values())
+    squares = sum(len(x) ** 2 for x in paths.values())
+    host = max(0, top - (len(hosts) - 1) * within - path * (share - squares / n)) / (n - sum(len(x) ** 2 for x in hosts.values()) / n)
+    assert path > 0 and host > 0 and len(got) == n
+    logit = lambda p: np.log(p / (1 - p))
+    for i, r in enumerate(rows):
+        x, y = hosts[r[1]], paths[r[1:3]]
+        v = within / len(x) + path * sum(len(z) ** 2 for k, z in paths.items() if k[0] == r[1]) / len(x) ** 2
+        host_mean = mu if len(x) == 1 else mu + host / (host + v) * ((e[x].sum() - e[i]) / (len(x) - 1) - mu)
+        path_mean = ((e[y].sum() - e[i]) * path + within * host_mean) / ((len(y) - 1) * path + within)
+        assert got[i].host_mean == pytest.approx(host_mean, abs=1e-4) and got[i].path_mean == pytest.approx(path_mean, abs=1e-4)
+        assert logit(got[i].score) == pytest.approx(logit(e[i]) + logit(path_mean) - logit(mu), abs=4e-3)
+
+
+def test_sites_help_where_they_differ_and_do_nothing_where_not(spark):
+    for spread, gain in ((2.0, 0.015), (0.0, 0.0)):
+        rows, rate = simulated_sites(spread, np.random.default_rng(5))
+        df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, host string, path string, evidence double")
+        got = {r.doc_id: r for r in quality_classifier.with_sites(df).collect()}
+        good = np.array([r[4] for r in rows])
+        alone = np.mean((np.array([r[3] for r in rows]) >= 0.5) == good)
+        joined = np.mean([got[r[0]].kept == bool(r[4]) for r in rows])
+        assert joined >= alone + gain if gain else abs(joined - alone) < 0.005
+    paths = df.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round(F.col("evidence") * 1e6).cast("long")).alias("u"), F.sum(F.round(F.col("evidence") ** 2 * 1e6).cast("long")).alias("q"))
+    v = quality_classifier.levels(paths)
+    assert v.path < 0.002 and v.host < 0.002 and v.within > 0.01
+
+
+def test_sparse_sites_stay_near_their_parents(spark):
+    rows = [(i, "good", "a", 0.9 + 0.05 * (i % 2)) for i in range(200)] + [(200 + i, "bad", "a", 0.1 + 0.05 * (i % 2)) for i in range(200)] + [(400, "one", "a", 0.1), (401, "two", "a", 0.1), (402, "two", "a", 0.15)]
+    got = {r.doc_id: r for r in quality_classifier.with_sites(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double")).collect()}
+    assert got[0].path_mean > 0.9 and got[200].path_mean < 0.15 and 0.4 < got[400].path_mean < 0.65
+    assert quality_classifier.with_sites(spark.createDataFrame([], "doc_id long, host string, path string, evidence double")).count() == 0
+
+
 def page(body):
     return f"<!DOCTYPE html><html><head><title>t</title><script>var a='</p>';</script></head><body>{body}</body></html>"
 
