@@ -75,7 +75,14 @@ query("io18_cluster_exemplars", "select vec_id as id, embedding[1]::double as me
 query("io19_manifest_rows", "select vec_id, len(embedding) as width from embeddings where len(embedding) = 64")(_manifest)
 for _name, _sql in (("io21_session_export", "select event_id, event_type from events where user_id = 46"), ("io24_experiment", "select event_id, event_type from events where user_id = 8 and event_type = 'error'")):
     query(_name, _sql)(lambda s, d, n=_name: r.lookup(table(s, d, "events"), **({"user_id": 46} if n.startswith("io21") else {"user_id": 8, "event_type": "error"})).select("event_id", "event_type"))
-query("io22_upsert", "select p_partkey, case when p_partkey % 3 = 0 then 0 else p_size end as p_size from part union all select 1000000 + s_suppkey, 1 from supplier")(lambda s, d: r.upsert(table(s, d, "part").select("p_partkey", "p_size"), table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey", F.lit(0).alias("p_size")).union(table(s, d, "supplier").select(F.col("s_suppkey") + 1000000, F.lit(1))), ["p_partkey"]))
+def _upserts(s, d):
+    """Parts, and their new sizes with suppliers; the origin is part of the key, as part keys beyond a million meet those of suppliers."""
+    part = table(s, d, "part").select("p_partkey", "p_size", F.lit("part").alias("origin"))
+    new = part.where("p_partkey % 3 = 0").withColumn("p_size", F.lit(0))
+    return part, new.union(table(s, d, "supplier").select(F.col("s_suppkey") + 1000000, F.lit(1), F.lit("supplier")))
+
+
+query("io22_upsert", "select p_partkey, case when p_partkey % 3 = 0 then 0 else p_size end as p_size from part union all select 1000000 + s_suppkey, 1 from supplier")(lambda s, d: r.upsert(*_upserts(s, d), ["p_partkey", "origin"]).select("p_partkey", "p_size"))
 query("io23_access_counts", "select user_id, count(*) as accesses from events where event_type = 'view' group by 1")(lambda s, d: table(s, d, "events").where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("accesses")))
 query("io25_latest", "select o_custkey, arg_max(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) as o_totalprice from orders group by 1")(lambda s, d: r.last_per_key(table(s, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), "o_custkey", F.struct("o_orderdate", "o_orderkey")).select("o_custkey", "o_totalprice"))
 query("io26_table_sizes", "select 'part' as name, count(*) as n from part union all select 'orders', count(*) from orders union all select 'events', count(*) from events union all select 'supplier', count(*) from supplier")(lambda s, d: r.table_sizes({n: table(s, d, n) for n in ("part", "orders", "events", "supplier")}))

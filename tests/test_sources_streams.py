@@ -1,6 +1,7 @@
 """Files round trip; a replayed stream equals the batch."""
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,36 @@ def test_idioms(spark):
     t = spark.createDataFrame([(1, i, x) for i, x in enumerate("abcab")], "seq int, pos int, token string")
     got = [(r.pos, r.part, r.role) for r in udfs.parse_idioms(t, {"a": ["a", "b"]}, ["c"], []).orderBy("pos").collect()]
     assert got == [(0, "a b", "idiom"), (2, "c", "content"), (3, "a b", "idiom")]
+
+
+def tables_with(spark, tmp_path, **tables):
+    """A folder of the driver's tables with some of them put in place."""
+    import os
+
+    import oracle
+
+    for t in oracle.TABLES:
+        if t in tables:
+            tables[t].coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        else:
+            os.symlink(f"{oracle.DATA}/{t}.parquet", tmp_path / f"{t}.parquet")
+    return str(tmp_path)
+
+
+def differs(spark, sf_dir, name):
+    import duckdb
+    import oracle
+
+    from sonorant import registry
+    from sonorant.plans import catalog  # noqa: F401
+
+    con = duckdb.connect()
+    for t in oracle.TABLES:
+        at = f"{sf_dir}/{t}.parquet"
+        con.execute(f"create view {t} as select * from read_parquet('{at}/*.parquet')" if pathlib.Path(at).is_dir() else f"create view {t} as select * from read_parquet('{at}')")
+    return oracle.difference(spark, con, name, registry.QUERIES[name], registry.ORACLES[name], sf_dir)
+
+
+def test_upsert_keeps_parts_whose_key_meets_a_supplier(spark, tmp_path):
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 999990)
+    assert differs(spark, tables_with(spark, tmp_path, part=part), "io22_upsert") == ""
