@@ -180,3 +180,15 @@ def differs(spark, sf_dir, name):
 def test_upsert_keeps_parts_whose_key_meets_a_supplier(spark, tmp_path):
     part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 999990)
     assert differs(spark, tables_with(spark, tmp_path, part=part), "io22_upsert") == ""
+
+
+def odd_events(spark):
+    """Users that start at zero, from or to null, and fall to zero."""
+    pairs = [(0.0, 5.0), (0.0, 0.0), (None, 3.0), (2.0, None), (None, None), (4.0, 0.0), (5.0, 12.0), (0.0, None)]
+    rows = [(2 * u + k, u, "click", p[k]) for u, p in enumerate(pairs) for k in (0, 1)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    return e.selectExpr("event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "user_id", "event_type", "value", "'{}' as props")
+
+
+def test_soak_from_zero_and_null_equals_sql(spark, tmp_path):
+    assert differs(spark, tables_with(spark, tmp_path, events=odd_events(spark)), "st20_soak") == ""
