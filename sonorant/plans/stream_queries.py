@@ -64,7 +64,7 @@ def waves(s, d):
     return table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(16000.0).alias("rate"), x.alias("x"))
 
 
-query("u01_validate", "select event_id, value > 0 and sqrt(value) < 6 as valid from events")(lambda s, d: u.validate(table(s, d, "events"), "value", lambda x: math.sqrt(x) < 6).select("event_id", "valid"))
+query("u01_validate", "select event_id, value > 0 and sqrt(value) < 6 as valid from events")(lambda s, d: u.validate(table(s, d, "events"), "value", lambda x: x > 0 and math.sqrt(x) < 6).select("event_id", F.when(F.col("value").isNotNull(), F.col("valid")).alias("valid")))
 query("u02_segment")(lambda s, d: u.phrases(waves(s, d), 5, 5))
 query("u03_parse_idioms")(lambda s, d: u.parse_idioms(events(s, d), {"click": ["click", "view"]}, ["view"], ["error"]))
 query("u04_parse_tokens", f"with {T} select seq, pos, token, case token when 'click' then 'touch' when 'view' then 'look' end as meaning, case when token in ('click', 'view') then 1.0 else 0.5 end as confidence from t")(lambda s, d: u.parsed_tokens(events(s, d).drop("ctx"), {"click": "touch", "view": "look"}))

@@ -192,3 +192,7 @@ def odd_events(spark):
 
 def test_soak_from_zero_and_null_equals_sql(spark, tmp_path):
     assert differs(spark, tables_with(spark, tmp_path, events=odd_events(spark)), "st20_soak") == ""
+
+
+def test_validate_zero_and_null_equals_sql(spark, tmp_path):
+    assert differs(spark, tables_with(spark, tmp_path, events=odd_events(spark)), "u01_validate") == ""
