@@ -12,20 +12,22 @@ each get a row; an empty table gives no rows; without trusted documents both mul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_apart, label_of, labelled_ids, scan
+from .shared import columns_apart, label_of, scan
 from .wordvec import Words, mix64, per_doc, utf8
 
 #: Buckets of the hashed n-grams: the model's size, whatever the corpus.
 BUCKETS = 1 << 16
 #: A document is kept at this mean log-likelihood ratio (nats per n-gram) or more.
 THRESHOLD = -0.15
-#: Trusted documents at most (of least id hash).
+#: Ids of trusted documents that are broadcast at most; beyond that all are marked by a join.
 MAX_TRUSTED = 400_000
 #: Pseudo-count of each bucket.
 SMOOTH = 0.5
@@ -45,10 +47,27 @@ def grams(w: Words, h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([h & mask, pair & mask]).astype(np.int64), np.concatenate([w.doc, of])
 
 
+def marked(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, Callable[[pa.Array], np.ndarray]]:
+    """(rows of mark and text, function of a slice's marks to whether its texts are trusted): every document labelled quality 1.
+
+    Up to ``most`` of their ids are broadcast and the mark is the id; beyond that, a join by the id sets the mark.
+    """
+    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y = 1")
+    good = good.select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    got = good.limit(most + 1).toArrow()["doc_id"].to_numpy()
+    if len(got) <= most:
+        ids = np.sort(got)
+        known = docs.sparkSession.sparkContext.broadcast((ids, np.ones(len(ids), dtype=np.int64)))
+        return rows.select(F.col("doc_id").alias("mark"), "text"), lambda m: label_of(m, *known.value) == 1
+    bare = rows.where("doc_id is null").select(F.lit(False).alias("mark"), "text")  # apart, as they would share a task of the join
+    met = rows.where("doc_id is not null").join(good.withColumn("mark", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+    return met.select(F.coalesce("mark", F.lit(False)).alias("mark"), "text").union(bare), lambda m: m.to_numpy(zero_copy_only=False).astype(bool)
+
+
 def ngram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
     """Counts, 2 x buckets: of all documents, and of the trusted ones. Summed per task, then by Spark per bucket."""
-    ids, y = labelled_ids(labels, "quality", max_trusted, F.col("y") == 1)
-    known = docs.sparkSession.sparkContext.broadcast((ids, y))
+    rows, trusted = marked(docs, labels, max_trusted)
 
     def make():
         sums = np.zeros((2, buckets), dtype=np.int64)
@@ -57,7 +76,7 @@ def ngram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max
             w = Words(*utf8(b.column(1)))
             at, of = grams(w, w.hash, buckets)
             sums[0] += np.bincount(at, minlength=buckets)
-            sums[1] += np.bincount(at[(label_of(b.column(0), *known.value) == 1)[of]], minlength=buckets)
+            sums[1] += np.bincount(at[trusted(b.column(0))[of]], minlength=buckets)
 
         def last():
             at = np.flatnonzero(sums[0])
@@ -65,7 +84,6 @@ def ngram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max
 
         return each, last
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
     got = scan(rows, "text", "bucket int, raw long, trusted long", make).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
     out = np.zeros((2, buckets), dtype=np.int64)
     at = got["bucket"].to_numpy()

@@ -109,6 +109,12 @@ def test_quality_ratio_is_the_multinomials(docs, labels):
     assert (counts == want).all()
 
 
+def test_quality_counts_take_every_trusted_document(docs, labels):
+    many = labels.union(labels.limit(3))
+    for most in (3, 0):
+        assert (quality_rules.ngram_counts(docs, many, 64, most) == quality_rules.ngram_counts(docs, many, 64)).all()
+
+
 def naive_fp(t):
     w = t.encode().translate(wordvec._LOWER.tobytes()).split()
     if not w:
