@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sequences import r6
+from ..operators.sequences import divided, r6
 from ..plans.lineage import running
 
 
@@ -175,12 +175,6 @@ def leak(df: DataFrame, key: str, time: str, value: str, least: int = 100, share
     return t.select(key, "n", r6(g).alias("growth"), F.when(F.col("n") >= least, g > share).alias("leak"))
 
 
-def _divided(a: Column, b: Column) -> Column:
-    """a / b of doubles as IEEE 754 has it: infinite, or NaN for 0 / 0, where b is zero."""
-    toward = F.when(F.atan2(b, F.lit(-1.0)) < 0, -F.signum(a)).otherwise(F.signum(a))  # atan2 tells -0.0 from 0.0
-    return F.when(b != 0, F.try_divide(a, b)).when(b.isNotNull() & a.isNotNull(), F.when(F.isnan(a) | (a == 0), float("nan")).otherwise(toward * F.lit(float("inf"))))
-
-
 def soak(df: DataFrame, key: str, time: str, value: str, limit: float) -> DataFrame:
     """ST20: percent growth from the oldest to the newest known value: ok, potential over the limit, confirmed over twice it.
 
@@ -188,7 +182,7 @@ def soak(df: DataFrame, key: str, time: str, value: str, limit: float) -> DataFr
     """
     known = F.when(F.col(value).isNotNull(), F.col(time))
     first, last = F.min_by(value, known), F.max_by(value, known)
-    out = df.groupBy(key).agg(r6(_divided(100 * (last - first), first)).alias("growth"))
+    out = df.groupBy(key).agg(r6(divided(100 * (last - first), first)).alias("growth"))
     return out.withColumn("verdict", F.when(F.col("growth") > 2 * limit, "confirmed").when(F.col("growth") > limit, "potential").otherwise("ok"))
 
 

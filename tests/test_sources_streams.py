@@ -196,3 +196,9 @@ def test_soak_from_zero_and_null_equals_sql(spark, tmp_path):
 
 def test_validate_zero_and_null_equals_sql(spark, tmp_path):
     assert differs(spark, tables_with(spark, tmp_path, events=odd_events(spark)), "u01_validate") == ""
+
+
+def test_superpositions_of_no_length_equal_sql(spark, tmp_path):
+    rows = [(1, 0, 5.0), (2, 100, 0.0), (3, 100, 0.0), (4, 50, 3.0), (5, 0, None), (6, 500, 0.0)]
+    e = spark.createDataFrame(rows, "event_id long, s int, value double").selectExpr("event_id", "timestampadd(second, s, timestamp_ntz '2024-01-01 00:00:00') as ts", "1L as user_id", "'click' as event_type", "value", "'{}' as props")
+    assert differs(spark, tables_with(spark, tmp_path, events=e), "j03_superpositions") == ""
