@@ -232,3 +232,32 @@ def test_metric_weights_do_not_depend_on_partitions(spark):
     assert a[0].tolist() == b[0].tolist() and a[1] == b[1] and a[0].tolist() != [1.0, 1.0, 1.0]
     with pytest.raises(Exception, match="mini-batch"):
         models.metric_weights(df.select(F.lit(1).cast("long").alias("id"), F.array(F.lit(1.0)).alias("v"), "label"), "label", 3, batch=10)
+
+
+def test_nearest_by_value_over_crowded_buckets(spark):
+    q = spark.createDataFrame([(i, x) for i, x in enumerate([0.0, 9.9, 10.0, 55.0, None, float("nan"), 1e9])], "q_id int, x double")
+    r = spark.createDataFrame([(k, float(k % 20)) for k in range(400)] + [(900, 74.9), (901, None)], "key int, v double")
+    got = {x.q_id: (x.key, x.gap) for x in joins.nearest_by_value(q.repartition(3), r.repartition(5), 20.0).collect()}
+    assert got == {0: (0, 0.0), 1: (10, 0.1), 2: (10, 0.0), 3: (900, 19.9)}
+
+
+def test_match_library_equals_brute_force_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    q = [(i, float(f), float(d)) for i, (f, d) in enumerate(zip(rng.integers(0, 9000, 300), rng.integers(0, 900, 300), strict=True))]
+    lib = [(k, float(f) / 2, float(d) / 2) for k, (f, d) in enumerate(zip(rng.integers(0, 9000, 5000), rng.integers(0, 900, 5000), strict=True))] * 2
+    got = {r.q_id: (r.key, r.sim) for r in joins.match_library(spark.createDataFrame(q, "q_id int, q_f0 double, q_duration double"), spark.createDataFrame(lib, "key int, f0 double, duration_ms double")).collect()}
+    for i, f, d in q:
+        s = [(math.floor((max(0.0, 1 - abs(f - x) / 2000) + max(0.0, 1 - abs(d - y) / 500)) / 2 * 1e6 + 0.5) / 1e6, -k) for k, x, y in lib]
+        assert got[i] == (-max(s)[1] if max(s)[0] >= 0.8 else None, max(s)[0])
+
+
+def test_network_metrics_by_either_join(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 40, (200, 2))] + [(0, k) for k in range(1, 40)]
+    e = spark.createDataFrame(rows, "src int, dst int")
+    near = {k: {b for a, b in rows if a == k} | {a for a, b in rows if b == k} - {k} for k in range(40)}
+    near = {k: v - {k} for k, v in near.items()}
+    local = [sum(q in near[p] for p in v for q in v) / (len(v) * (len(v) - 1)) if len(v) > 1 else 0 for v in near.values() if v]
+    for most in (1_000_000, 0):
+        r = models.network_metrics(e, most).first()
+        assert (r.nodes, r.edges, r.clustering) == (40, sum(map(len, near.values())) // 2, round(sum(local) / 40, 6))
