@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .blocks import group_distances
 from .sequences import in_order, r6
 
 
@@ -252,8 +253,8 @@ def argmax_matrix(scores: DataFrame, key: str, persona: str, score: str, context
     return best.join(contexts, key).groupBy("persona", "ctx").agg(F.sum("n").alias("n"))
 
 
-def label_distances(rows: DataFrame, distance) -> DataFrame:
-    """Mean and least distance of every label pair over rows(id, label, v); all pairs of a stated, bounded row set."""
-    a, b = rows.selectExpr("id as i", "label as la", "v as va"), rows.selectExpr("id as j", "label as lb", "v as vb")
-    d = a.join(b, F.col("i") < F.col("j")).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), r6(distance(F.col("va"), F.col("vb"))).alias("d"))
-    return d.groupBy("a", "b").agg(F.count("*").alias("n"), r6(F.avg("d")).alias("mean"), F.min("d").alias("least"))
+def label_distances(rows: DataFrame) -> DataFrame:
+    """Mean and least Euclidean distance of every label pair over rows(id, label, v); all pairs, block against block."""
+    d = group_distances(rows)
+    mean = F.coalesce("odd", F.try_divide(F.col("total").cast("double"), F.col("k")) / 1e6)
+    return d.select("a", "b", "n", r6(mean).alias("mean"), r6(F.coalesce(F.col("least") / 1e6, "odd")).alias("least"))

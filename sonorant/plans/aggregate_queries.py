@@ -102,4 +102,4 @@ query("a38_percentiles", "select round(quantile_cont(value, 0.5), 6) as p50, rou
 query("a39_coverage", P + "select species, feature, round(avg((v > 0)::int), 6) as covered from (select species, 'hnr' as feature, hnr as v from phrases union all select species, 'icv', icv from phrases) group by all")(lambda s, d: a.coverage(phrases(s, d), "species", ["hnr", "icv"]))
 query("a40_set_overlaps", f"with {PHRASES}, {CONTEXTS}, d as (select distinct species as g, name as i from contexts), z as (select g, count(*) as n from d group by g), c as (select x.g as a, y.g as b, count(*) as common from d x join d y on x.i = y.i and x.g < y.g group by all) select a, b, common, round(common / (p.n + q.n - common), 6) as jaccard, round(common / least(p.n, q.n), 6) as overlap, round(common / least(p.n, q.n), 6) > 0.1 as significant from c join z p on p.g = a join z q on q.g = b")(lambda s, d: a.set_overlaps(phrases(s, d).select("species", F.explode("contexts.name").alias("w")), "species", "w"))
 query("a41_specific_pairs", f"with {EV}, c as (select event_id // 2 as token, event_type as ctx, count(*) as n from e group by all), s as (select *, round(n / sum(n) over (partition by token), 6) as share from c) select * from s where share > 0.7")(lambda s, d: a.specific_pairs(ev(s, d).withColumn("user_id", F.expr("event_id div 2")), "user_id", "event_type").withColumnRenamed("user_id", "token"))
-query("a42_label_distances", f"with {_VEC}, p as (select least(a.label, b.label) as a, greatest(a.label, b.label) as b, {_L2} as d from ve a join ve b on a.id < b.id) select a, b, count(*) as n, round(avg(d), 6) as mean, min(d) as least from p group by all")(lambda s, d: a.label_distances(vectors(s, d), v.euclidean))
+query("a42_label_distances", f"with {_VEC}, p as (select least(a.label, b.label) as a, greatest(a.label, b.label) as b, {_L2} as d from ve a join ve b on a.id < b.id) select a, b, count(*) as n, round(avg(d), 6) as mean, min(d) as least from p group by all")(lambda s, d: a.label_distances(vectors(s, d)))
