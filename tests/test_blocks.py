@@ -45,3 +45,25 @@ def test_label_distances_equal_brute_force(spark, monkeypatch, odd):
         known = [x for x in d if x is not None]
         n, mean, least = got[k]
         assert n == len(d) and (mean == pytest.approx(np.mean(known), abs=2e-6, nan_ok=True)) and least == pytest.approx(np.fmin.reduce(known), abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [9, 4096])
+def test_dbscan_by_blocks_equals_the_kernel(spark, monkeypatch, size):
+    from sonorant.functions import kernels
+    from sonorant.operators import models
+
+    monkeypatch.setattr(blocks.self_pairs, "__defaults__", (size, None))
+    x = np.concatenate([RNG.normal(size=(25, 2)) * 0.4 + c for c in ((0, 0), (4, 0), (0, 5))] + [RNG.uniform(-3, 8, (15, 2))])
+    rows = [(100 + i, g, v.tolist()) for g in (0, 1) for i, v in zip(range(g * 100, g * 100 + 90), x[RNG.permutation(90)], strict=True)] + [(500, 0, None), (501, None, [0.0, 0.0])]
+    got = {r.id: r.cluster for r in models.dbscan_blocks(spark.createDataFrame(rows, SCHEMA), "label", 4, models.within(0.6)).collect()}
+    assert got[500] is None and got[501] is None
+    for g in (0, 1):
+        of = [(i, v) for i, k, v in rows if k == g and v]
+        want = kernels.dbscan(np.array([v for _, v in of]), 0.6, 4)
+        first = {}
+        mine = [got[i] for i, _ in of]
+        for m, w in zip(mine, want, strict=True):
+            assert (m is None) == (w < 0)
+            if m is not None:
+                assert first.setdefault(w, m) == m
+        assert len(set(first.values())) == len(first)
