@@ -67,3 +67,12 @@ def test_dbscan_by_blocks_equals_the_kernel(spark, monkeypatch, size):
             if m is not None:
                 assert first.setdefault(w, m) == m
         assert len(set(first.values())) == len(first)
+
+
+def test_hdbscan_takes_groups_of_any_size(spark):
+    from sonorant.operators import models
+
+    x = np.concatenate([RNG.normal(size=(2700, 2)), RNG.normal(size=(2700, 2)) + 40])
+    got = models.hdbscan(spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], SCHEMA), "label", 900).collect()
+    near, far = ({r.cluster for r in got if (r.id < 2700) == side} - {-1} for side in (True, False))
+    assert len(near) == len(far) == 1 and near != far and len(got) == 5400
