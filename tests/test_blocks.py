@@ -76,3 +76,24 @@ def test_hdbscan_takes_groups_of_any_size(spark):
     got = models.hdbscan(spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], SCHEMA), "label", 900).collect()
     near, far = ({r.cluster for r in got if (r.id < 2700) == side} - {-1} for side in (True, False))
     assert len(near) == len(far) == 1 and near != far and len(got) == 5400
+
+
+def test_warped_clusters_of_a_large_group_equal_the_kernel(spark):
+    from sonorant.functions import kernels
+    from sonorant.operators import models
+
+    rows = [(i, 1, (RNG.integers(0, 40, int(RNG.integers(1, 4))) * 10.0).tolist()) for i in range(620)]
+    got = {r.id: r.cluster for r in models.dtw_clusters(spark.createDataFrame(rows, SCHEMA), "label", 15.0, 4).collect()}
+    d = np.array([[kernels.dtw(x, y) for _, _, y in rows] for _, _, x in rows])
+    assert [got[i] for i in range(620)] == kernels.dbscan(None, 15.0, 4, d).tolist()
+
+
+def test_warped_matrix_equals_the_kernel(spark):
+    from sonorant.functions import kernels
+    from sonorant.operators import models
+
+    rows = [(i, 1, RNG.exponential(50, int(RNG.integers(1, 30))).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.i, r.j): r.distance for r in models.dtw_matrix(df, df.where("id % 20 = 0"), 5).collect()}
+    assert set(got) == {(i, j) for i in (0, 20, 40) for j in range(i + 1, 60)}
+    assert all(abs(v - kernels.dtw(np.array(rows[i][2]), np.array(rows[j][2]), 5)) < 2e-6 for (i, j), v in got.items())
