@@ -202,3 +202,27 @@ def test_superpositions_of_no_length_equal_sql(spark, tmp_path):
     rows = [(1, 0, 5.0), (2, 100, 0.0), (3, 100, 0.0), (4, 50, 3.0), (5, 0, None), (6, 500, 0.0)]
     e = spark.createDataFrame(rows, "event_id long, s int, value double").selectExpr("event_id", "timestampadd(second, s, timestamp_ntz '2024-01-01 00:00:00') as ts", "1L as user_id", "'click' as event_type", "value", "'{}' as props")
     assert differs(spark, tables_with(spark, tmp_path, events=e), "j03_superpositions") == ""
+
+
+def test_superpositions_without_end_equal_sql(spark, tmp_path):
+    rows = [(1, 0, float("nan")), (2, 9000, 5.0), (3, 20000, float("inf")), (4, 90000, 0.0), (5, 90000, -3.0), (6, 100, 400.0), (7, 200000, 1.0)]
+    e = spark.createDataFrame(rows, "event_id long, s int, value double").selectExpr("event_id", "timestampadd(second, s, timestamp_ntz '2024-01-01 00:00:00') as ts", "1L as user_id", "'click' as event_type", "value", "'{}' as props")
+    assert differs(spark, tables_with(spark, tmp_path, events=e), "j03_superpositions") == ""
+
+
+def test_superpositions_of_split_cells_equal_brute_force(spark):
+    import numpy as np
+
+    from sonorant.operators import joins
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2] if i % 11 else None, float(s), float(s + n)) for i, s, n in zip(range(300), rng.integers(0, 900, 300), rng.integers(-2, 60, 300), strict=True)]
+    got = joins.superpositions(spark.createDataFrame(rows, "id int, modality string, start double, stop double"), 20, size=25).collect()
+    want = {}
+    for i, m, s, t in rows:
+        for j, n, u, v in rows[i + 1 :]:
+            if m is not None and m == n and s < v and u < t:
+                common, length = min(t, v) - max(s, u), min(t - s, v - u)
+                want[i, j] = round(common / length, 6) if length else float("nan")
+    want = {k: v for k, v in want.items() if not v < 0.3}
+    assert len(got) == len(want) and all(r.ratio == pytest.approx(want[r.a_id, r.b_id], abs=1e-6, nan_ok=True) for r in got)
