@@ -99,3 +99,27 @@ def test_warped_matrix_equals_the_kernel(spark):
     got = {(r.i, r.j): r.distance for r in models.dtw_matrix(df, df.where("id % 20 = 0"), 5).collect()}
     assert set(got) == {(i, j) for i in (0, 20, 40) for j in range(i + 1, 60)}
     assert all(abs(v - kernels.dtw(np.array(rows[i][2]), np.array(rows[j][2]), 5)) < 2e-6 for (i, j), v in got.items())
+
+
+def test_warping_by_diagonals_equals_the_kernel():
+    from sonorant.functions import kernels
+
+    for k in range(60):
+        n, m = RNG.integers(1, 25, 2)
+        a, b, band = RNG.exponential(50, (5, n)), RNG.exponential(50, (5, m)), (None, 0, 1, 5)[k % 4]
+        want = np.array([kernels.dtw(x, y, band) for x, y in zip(a, b, strict=True)])
+        assert np.allclose(kernels.dtw_each(a, b, band), want, rtol=0, atol=1e-7)
+        limit = float(np.median(want)) + 1e-6
+        assert ((kernels.dtw_each(a, b, band, limit) <= limit) == (want <= limit)).all()
+
+
+def test_equal_series_are_warped_once(monkeypatch):
+    from sonorant.functions import kernels
+    from sonorant.operators import models
+
+    warped, plain = [], kernels.dtw_each
+    monkeypatch.setattr(kernels, "dtw_each", lambda a, *rest: warped.append(len(a)) or plain(a, *rest))
+    v = [np.arange(k % 3 + 2.0) for k in range(300)]
+    x, which = models._distinct(v)
+    d = models._warped(x, x, np.ones((3, 3), bool))[np.ix_(which, which)]
+    assert sum(warped) == 9 and d.shape == (300, 300) and d[0, 3] == 0 and d[0, 1] == kernels.dtw(v[0], v[1])
