@@ -123,3 +123,13 @@ def test_equal_series_are_warped_once(monkeypatch):
     x, which = models._distinct(v)
     d = models._warped(x, x, np.ones((3, 3), bool))[np.ix_(which, which)]
     assert sum(warped) == 9 and d.shape == (300, 300) and d[0, 3] == 0 and d[0, 1] == kernels.dtw(v[0], v[1])
+
+
+def test_series_with_a_null_are_near_none(spark):
+    from sonorant.operators import models
+
+    rows = [(0, 1, [1.0, None]), (1, 1, [1.0, 2.0]), (2, 1, [1.0, 2.5]), (3, 1, None), (4, 1, [900.0] * 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.id: r.cluster for r in models.dtw_clusters(df, "label", 15.0, 2).collect()} == {0: -1, 1: 0, 2: 0, 3: -1, 4: -1}
+    got = {(r.i, r.j): r.distance for r in models.dtw_matrix(df, df.where("id < 2"), 5).collect()}
+    assert set(got) == {(0, 1), (0, 2), (0, 4), (1, 2), (1, 4)} and np.isnan(got[0, 1]) and got[1, 2] == 0.5
