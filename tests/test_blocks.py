@@ -133,3 +133,43 @@ def test_series_with_a_null_are_near_none(spark):
     assert {r.id: r.cluster for r in models.dtw_clusters(df, "label", 15.0, 2).collect()} == {0: -1, 1: 0, 2: 0, 3: -1, 4: -1}
     got = {(r.i, r.j): r.distance for r in models.dtw_matrix(df, df.where("id < 2"), 5).collect()}
     assert set(got) == {(0, 1), (0, 2), (0, 4), (1, 2), (1, 4)} and np.isnan(got[0, 1]) and got[1, 2] == 0.5
+
+
+def test_nearest_points_of_every_row_equal_brute_force(spark):
+    from sonorant.operators import joins
+
+    rows = [(i, *map(float, v)) for i, v in enumerate(np.concatenate([RNG.integers(0, 6, (150, 3)), RNG.normal(size=(60, 3)) + 90, np.full((90, 3), 2), [[500, 500, 500]]]))]
+    for size in (8, 1024):
+        got = {(r.a_id, r["rank"]): (r.b_id, r.distance) for r in joins.nearest_points(spark.createDataFrame(rows, "id long, x double, y double, z double"), 5, size).collect()}
+        assert len(got) == 5 * len(rows)
+        for i, *p in rows:
+            best = sorted((round(float(np.sqrt(((np.array(p) - q) ** 2).sum())), 6), j) for j, *q in rows if j != i)[:5]
+            for k, (d, j) in enumerate(best, 1):
+                assert got[i, k][0] == j and got[i, k][1] == pytest.approx(d, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_nearest_points_of_odd_and_few_rows(spark, n):
+    from sonorant.operators import joins
+
+    rows = [(i, float(i * i), 0.0, 0.0) for i in range(n)] + [(90, None, 0.0, 0.0), (91, float("nan"), 0.0, 0.0), (92, 1.0, None, 2.0)]
+    got = {}
+    for r in joins.nearest_points(spark.createDataFrame(rows, "id long, x double, y double, z double"), 4).collect():
+        got.setdefault(r.a_id, {})[r["rank"]] = r.b_id
+
+    def far(p, q):
+        if any(v is None for v in (*p, *q)):
+            return 2, 0.0
+        d = float(np.sqrt(sum((a - b) ** 2 for a, b in zip(p, q, strict=True))))
+        return (1, 0.0) if np.isnan(d) else (0, d)
+
+    for i, *p in rows:
+        best = [j for _, j in sorted((far(p, q), j) for j, *q in rows if j != i)][:4]
+        assert [got[i][k] for k in sorted(got[i])] == best
+
+
+def test_nearest_points_query_asks_for_every_row(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["j10_nearest_points"](spark, "/root/testdata/sf0.001")
+    assert got.select("a_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
